@@ -19,7 +19,8 @@ def carry(rows: DataFrame, group: list[str], block: str, summaries: dict[str, Co
     `summaries` are aggregates per (group, block). `carried` names each new column and how
     it comes from the summaries: ("sum", s) sums s over the earlier blocks (0 before the
     first), ("last", s) takes the last non-null s of the earlier blocks, ("next", s) the
-    first non-null s of the later blocks, ("total", s) sums s over all blocks.
+    first non-null s of the later blocks, ("total", s) sums s and ("max", s) takes the largest
+    s over all blocks.
     """
     per_block = rows.groupBy(*group, block).agg(*[c.alias(f"__s_{n}") for n, c in summaries.items()])
     ordered = Window.partitionBy(*group).orderBy(block)
@@ -29,6 +30,7 @@ def carry(rows: DataFrame, group: list[str], block: str, summaries: dict[str, Co
         "last": lambda c: F.last(c, ignorenulls=True).over(before),
         "next": lambda c: F.first(c, ignorenulls=True).over(after),
         "total": lambda c: F.sum(c).over(Window.partitionBy(*group)),
+        "max": lambda c: F.max(c).over(Window.partitionBy(*group)),
     }
     per_block = per_block.select(
         *[F.col(c).alias(f"__k_{c}") for c in [*group, block]],
