@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import rank, runs
+from logstrata.llm import leakage, rank, runs
 from logstrata.operators import template_tree, timeline
 from logstrata.session import table
 
@@ -72,5 +72,15 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(_p4_events(spark, d).join(times, "seq", "left"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items per suite, with the number of documents that hold a piece of each."""
+    found = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return table(spark, d, "eval_items").select("item_id", "suite").join(found, "item_id")
+
+
+QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
 ORACLE = {"p1_found": P1_SQL, "p1_ranking": P1_RANKING_SQL}
