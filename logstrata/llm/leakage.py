@@ -228,10 +228,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in item_blocks(items, item_id, text):
-        shared = spark.sparkContext.broadcast(ItemIndex(block))
+        shared = spark.sparkContext.broadcast(block)
 
         def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            index = ItemIndex(shared.value)
             for frame in frames:
                 for s in range(0, len(frame), batch):
                     part = frame.iloc[s : s + batch]

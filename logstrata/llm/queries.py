@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import leakage, rank, runs
+from logstrata.llm import leakage, mixing, pii, rank, runs
 from logstrata.operators import template_tree, timeline
 from logstrata.session import table
 
@@ -82,5 +82,23 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", "suite").join(found, "item_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.report(p9_plan(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_mentions(table(spark, d, "documents"), table(spark, d, "staff_directory"))
+    return found.select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "staff_directory"))
+
+
+QUERIES = {"p9_plan": p9_plan, "p9_mix": p9_mix, "p10_found": p10_found, "p10_redacted": p10_redacted, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
 ORACLE = {"p1_found": P1_SQL, "p1_ranking": P1_RANKING_SQL}
