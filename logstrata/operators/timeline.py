@@ -31,7 +31,7 @@ MAX_BROADCAST_HOSTS = 100_000
 
 
 def zone_abbreviations(spark: SparkSession, zones: list[str], first: int = 1990, last: int = 2038) -> DataFrame:
-    """(abbr_zone, abbr, abbr_offset): the abbreviations each zone has used, seconds east of UTC."""
+    """(__abbr_zone, __abbr, __abbr_offset): the abbreviations each zone has used, seconds east of UTC."""
     rows = set()
     for name in zones:
         if name not in available_timezones():
@@ -41,7 +41,7 @@ def zone_abbreviations(spark: SparkSession, zones: list[str], first: int = 1990,
             local = at.astimezone(zone)
             rows.add((name, local.tzname().upper(), int(local.utcoffset().total_seconds())))
             at += timedelta(days=14)
-    return spark.createDataFrame(sorted(rows), "abbr_zone string, abbr string, abbr_offset int")
+    return spark.createDataFrame(sorted(rows), "__abbr_zone string, __abbr string, __abbr_offset int")
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -49,17 +49,17 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 
 
 def host_candidates(host_zones: DataFrame) -> DataFrame:
-    """(zone_host, zone, month_first): the listed zone is a host's one candidate history."""
+    """(__zone_host, __cand_zone, __month_first): the listed zone is a host's one candidate history."""
     return host_zones.select(
-        ident("host").alias("zone_host"), F.col("tz_name").alias("zone"), (F.lower(F.trim("date_order")) == "mdy").alias("month_first")
-    ).filter(F.col("zone_host").isNotNull()).groupBy("zone_host").agg(F.min("zone").alias("zone"), F.max("month_first").alias("month_first"))
+        ident("host").alias("__zone_host"), F.col("tz_name").alias("__cand_zone"), (F.lower(F.trim("date_order")) == "mdy").alias("__month_first")
+    ).filter(F.col("__zone_host").isNotNull()).groupBy("__zone_host").agg(F.min("__cand_zone").alias("__cand_zone"), F.max("__month_first").alias("__month_first"))
 
 
 def local_times(df: DataFrame, text: str, host: str, candidates: DataFrame) -> DataFrame:
     """`df` with __host, its candidate zone, and __p: local, millis, zone, epoch_ms of the text."""
-    joined = df.withColumn("__host", ident(host)).join(_small(candidates, MAX_BROADCAST_HOSTS), F.col("__host") == F.col("zone_host"), "left")
+    joined = df.withColumn("__host", ident(host)).join(_small(candidates, MAX_BROADCAST_HOSTS), F.col("__host") == F.col("__zone_host"), "left")
     trimmed = F.upper(F.regexp_replace(F.col(text), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
-    month_first = F.coalesce("month_first", F.lit(False))
+    month_first = F.coalesce("__month_first", F.lit(False))
     parsed = let(trimmed, lambda t: let(read_parts(canonical(t, month_first)), lambda p: F.struct(p["local"].alias("local"), p["millis"].alias("millis"), p["zone"].alias("zone"), epoch_millis(t).alias("epoch_ms"))))
     return joined.withColumn("__p", parsed)
 
@@ -68,14 +68,14 @@ def instants(df: DataFrame, text: str, host: str, candidates: DataFrame, keep: l
     """`keep` columns and `ts_ms`, one row per text that denotes an instant."""
     spark = df.sparkSession
     timed = local_times(df.select(*keep, F.col(text).alias("__raw"), F.col(host).alias("__of")), "__raw", "__of", candidates)
-    zones = [r[0] for r in candidates.select("zone").distinct().limit(MAX_ZONES).collect()]
+    zones = [r[0] for r in candidates.select("__cand_zone").filter("__cand_zone IS NOT NULL").distinct().limit(MAX_ZONES).collect()]
     known = zone_abbreviations(spark, [*zones, "UTC"])
-    timed = timed.select(*keep, "__p", F.coalesce("zone", F.lit("UTC")).alias("__zone"))
-    timed = timed.join(F.broadcast(known), (F.col("__zone") == F.col("abbr_zone")) & (F.col("__p.zone") == F.col("abbr")), "left")
+    timed = timed.select(*keep, "__p", F.coalesce("__cand_zone", F.lit("UTC")).alias("__zone"))
+    timed = timed.join(F.broadcast(known), (F.col("__zone") == F.col("__abbr_zone")) & (F.col("__p.zone") == F.col("__abbr")), "left")
     local, written, zone = F.col("__p.local"), F.col("__p.zone"), F.col("__zone")
     # a local time that the clock skipped does not come back from its conversion
     in_zone = let(F.to_utc_timestamp(local, zone), lambda utc: F.when(F.from_utc_timestamp(utc, zone) == local, F.unix_millis(utc)))
-    at = F.when(written.isNull(), in_zone).otherwise(F.unix_millis(local) - F.coalesce(offset_seconds(written), "abbr_offset") * 1000)
+    at = F.when(written.isNull(), in_zone).otherwise(F.unix_millis(local) - F.coalesce(offset_seconds(written), "__abbr_offset") * 1000)
     ts_ms = F.coalesce(F.col("__p.epoch_ms"), at + F.col("__p.millis"))
     # exploding what is there, unlike a filter, reads the text only once
     return timed.select(*keep, F.explode(F.array_compact(F.array(ts_ms))).alias("ts_ms"))
