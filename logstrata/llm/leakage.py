@@ -11,7 +11,7 @@ It is enough to verify pieces of 12 words with one edit and of 16 words with two
 piece within its budget contains one of these.
 
 Defined results: letter case, punctuation, markup and line breaks do not count; null and
-empty texts match nothing; items below 12 words cannot leak; copies of a document are
+empty texts, and documents without id, match nothing; items below 12 words cannot leak; copies of a document are
 documents of their own; texts of any length are read whole. Items are held in blocks of
 `ITEM_BLOCK_CHARS` characters, one pass over the documents each, so what is broadcast is
 bounded whatever the number of items.
@@ -212,7 +212,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
     """Items as blocks of bounded size, read block by block."""
     block: list[tuple[int, list[str]]] = []
     size = 0
-    for row in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL").toLocalIterator():
+    for row in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL AND i IS NOT NULL").toLocalIterator():
         block.append((row.i, words(row.t)))
         size += len(row.t)
         if size >= ITEM_BLOCK_CHARS:
@@ -225,7 +225,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", batch: int = 500) -> DataFrame:
     """(doc_id, item_id) of every document that holds a piece of an item."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     out = None
     for block in item_blocks(items, item_id, text):
         shared = spark.sparkContext.broadcast(block)

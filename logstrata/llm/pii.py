@@ -7,7 +7,8 @@ characters, chooses the set of non-overlapping spans and types with the highest
 The weights are fitted by conditional log-likelihood (forward-backward over the same lattice)
 on `TRAIN_TEXTS` generated, labelled texts; nothing of the driver's tables is used for that.
 
-Defined results: null and empty texts have no mentions; texts of any length are read whole;
+Defined results: null and empty texts have no mentions (`redact` returns them as they are),
+documents without id none that could be reported; texts of any length are read whole;
 overlapping candidates never both win; equal scores prefer the span that ends first, then the
 longer one; a lexicon of more than `MAX_LEXICON` names is refused, as it is held by every task.
 """
@@ -384,7 +385,7 @@ def find_mentions(documents: DataFrame, names: DataFrame, doc_id: str = "doc_id"
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_text", "start", "end"])
 
-    picked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    picked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return picked.mapInPandas(scan, "doc_id long, pii_type string, pii_text string, start long, end long")
 
 
@@ -403,7 +404,7 @@ def redact(documents: DataFrame, names: DataFrame, doc_id: str = "doc_id", text:
                     t = f"{t[:s]}[{kind.upper()}]{t[e:]}"
                 texts.append(t)
                 counts.append(len(found))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts, "n_mentions": counts})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text": texts, "n_mentions": counts})
 
     picked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInPandas(scan, "doc_id long, text string, n_mentions int")
