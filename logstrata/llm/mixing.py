@@ -11,7 +11,7 @@ source within about one document of its target.
 The total is the largest at which every target can be met within the most repeats.
 
 Defined results: sources are compared without letter case and surrounding blanks, null and
-blank belong to no source, documents of sources without target get no copies; null and empty
+blank belong to no source, documents without id are not planned, documents of sources without target get no copies; null and empty
 texts have no tokens and get no copies; a target whose source has no tokens cannot be met:
 its share is reported as 0 and the others keep their proportions; an empty table gives an
 empty plan; of a target listed twice the first in order of share and repeats counts.
@@ -120,7 +120,7 @@ def balance(histogram: DataFrame, targets: Targets, unit: dict[str, float], tole
 
 def plan(documents: DataFrame, targets_table: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens, rate, copies) of every document of a source with a target."""
-    picked = documents.select(F.col(doc_id).alias("doc_id"), ident(source).alias("source"), F.col(text).alias("text")).filter("source IS NOT NULL")
+    picked = documents.select(F.col(doc_id).alias("doc_id"), ident(source).alias("source"), F.col(text).alias("text")).filter("source IS NOT NULL AND doc_id IS NOT NULL")
     named = targets_table.select(ident("source").alias("source")).distinct()
     sized = count_tokens(picked.join(named, "source", "left_semi"), "doc_id", "text", ["source"], vocabulary)
     sized = materialize(sized, "sized")

@@ -9,7 +9,7 @@ items are ranked by rho. Scales and ranges play no part.
 Defined results: a score an item lacks (null, NaN or not in the map) ties with the lowest
 value of its group; a score that all items of a group lack does not count; a group without
 any score ranks its items by identifier; equal rho are ordered by mean rank, then by
-identifier; an item listed more than once counts once, with its highest values.
+identifier; rows without group or item are not ranked; an item listed more than once counts once, with its highest values.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def rho(ranks: Column) -> Column:
 def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str) -> DataFrame:
     """(group, item, rho, mean_rank, n_scores) for items with a map of scores."""
     cleaned = F.map_filter(F.coalesce(scores, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), lambda k, v: v.isNotNull() & ~F.isnan(v))
-    items = items.select(F.col(group).alias("g"), F.col(item).alias("i"), cleaned.alias("scores"))
+    items = items.select(F.col(group).alias("g"), F.col(item).alias("i"), cleaned.alias("scores")).filter("g IS NOT NULL AND i IS NOT NULL")
     entries = items.select("g", "i", F.explode("scores").alias("score", "value")).groupBy("g", "i", "score").agg(F.max("value").alias("value"))
     lowest = entries.groupBy("g", "score").agg(F.min("value").alias("low"))
     lows = lowest.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("score", "low"))).alias("lows"))
