@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = r"^[\s ]+|[\s ]+$"
+_BLANKS = r"^[\s\u00a0]+|[\s\u00a0]+$"
 
 
 def ident(c: Column | str) -> Column:

@@ -22,7 +22,7 @@ def summary(board: DataFrame) -> DataFrame:
     return board.agg(
         F.count("*").alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors"), F.count_if(F.col("level") == "WARN").alias("warns"),
         F.count_distinct(F.when(F.col("service") != "unknown", F.col("service"))).alias("services"),
-        F.coalesce(F.round(F.count_if(F.col("level") == "ERROR") * 1000 / F.count("*")) / 10, F.lit(0.0)).alias("error_percent"), F.max("ts_ms").alias("latest_ms"),
+        F.coalesce(F.round(F.try_divide(F.count_if(F.col("level") == "ERROR") * 1000, F.count("*"))) / 10, F.lit(0.0)).alias("error_percent"), F.max("ts_ms").alias("latest_ms"),
     )
 
 
