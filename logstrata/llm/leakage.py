@@ -170,12 +170,13 @@ def aligned(doc: list[str], item: list[str], diagonal: int) -> bool:
                 best = max(best, r + 1 + reach(j + 1, d, edits - 1))
         return best
 
-    for d in runs:
+    for d, run in runs.items():
         for i in range(max(0, -d), len(item)):
-            # an edit before the first unchanged word serves as well behind the last one
-            if runs[d][i] and not (i and i + d > 0 and runs[d][i - 1]):
-                if any(reach(i, d, edits) >= m for m, edits in PIECES):
-                    return True
+            # a piece begins with up to `edits` words of the item that are changed or dropped
+            if run[i] and not (i and i + d > 0 and run[i - 1]):
+                for m, edits in PIECES:
+                    if any(k + reach(i, d, edits - k) >= m for k in range(min(edits, i) + 1)):
+                        return True
     return False
 
 

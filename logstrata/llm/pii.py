@@ -39,7 +39,7 @@ EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-
 EMAIL_FULL = re.compile(rf"[\w][\w.%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}", re.I)
 SPELLED = re.compile(r"\b([a-z0-9][\w.+-]*) (?:at|AT) ([a-z0-9-]+(?: (?:dot|DOT) [a-z0-9-]+)+)\b", re.I)
 EXTENSION = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|máy lẻ)\s?\d{1,5})"
-DIGITS = re.compile(rf"(?<![\w.+/=:@-])(?:\+|\()?\d(?:[\d().\-/‑  ]{{4,22}})\d{EXTENSION}?(?![\w@])|(?<==)(?:\+|\()?\d[\d().\- ]{{4,22}}\d{EXTENSION}?(?![\w@])")
+DIGITS = re.compile(rf"(?<![\w.+/=:@-])(?:\+|\()?\d(?:[\d().\-/\u2011 \u00a0]{{4,22}})\d{EXTENSION}?(?![\w@])|(?<==)(?:\+|\()?\d[\d().\- ]{{4,22}}\d{EXTENSION}?(?![\w@])")
 ALNUM = re.compile(r"(?<![\w-])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,3}\d{6,9}[A-Z]?)(?![\w-])")
 STREET_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Close|Court|Ct|Way|Place|Square|Terrace|Crescent|Row|Parade|Gardens|Grove|Hill|Mews|Walk)"
 CAPS = r"(?:[A-ZÀ-ÖØ-ÞĐ][\w'’.-]*)"

@@ -78,7 +78,7 @@ def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str) -> Dat
         F.col("g").alias(group),
         F.col("i").alias(item),
         F.round(rho(F.col("ranks")), 12).alias("rho"),
-        F.round(F.aggregate("ranks", F.lit(0.0), lambda a, r: a + r) / F.size("ranks"), 9).alias("mean_rank"),
+        F.round(F.try_divide(F.aggregate("ranks", F.lit(0.0), lambda a, r: a + r), F.size("ranks")), 9).alias("mean_rank"),
         F.size("ranks").alias("n_scores"),
     )
 

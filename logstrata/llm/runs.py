@@ -27,8 +27,9 @@ def message_key(message: Column) -> Column:
     Values are words with digits or slashes (ids, addresses, paths, numbers, durations) and
     hyphenated names.
     """
-    plain = F.regexp_replace(F.lower(F.coalesce(message, F.lit(""))), r"\S*[\d/]\S*|[a-z]+-[a-z]+", "#")
-    return F.xxhash64(F.trim(F.regexp_replace(plain, r"[\s ]+", " ")))
+    text = F.translate(F.lower(F.coalesce(message, F.lit(""))), "\u00a0\u2007\u202f\u3000", "    ")
+    plain = F.regexp_replace(text, r"\S*[\d/]\S*|[a-z]+-[a-z]+", "#")
+    return F.xxhash64(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
 def collapse_runs(events: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
