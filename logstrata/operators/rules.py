@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logstrata.functions.timestamps import let
 from logstrata.operators.ingest import top_per_group
 
 # Patterns of the categories and thresholds of their scores.
@@ -73,7 +74,7 @@ def _any(text: Column, patterns: list[str]) -> Column:
 
 
 def category_score(category: str, dataset: Column, level: Column, text: Column) -> Column:
-    """score and n_negative of one category."""
+    """category, score and label of one category; score and negatives are computed once."""
     p = PROFILES[category]
     score = 4 * _count(text, p.strong) + _count(text, p.weak) - 5 * _count(text, p.negative)
     negative = _count(text, p.negative)
@@ -90,18 +91,22 @@ def category_score(category: str, dataset: Column, level: Column, text: Column)
         score, negative = score - F.when(calm, 6).otherwise(0), negative + calm.cast("int")
     elif category == "unknown":
         score = score + F.when(level.isin("ERROR", "WARN", "WARNING"), 2).otherwise(0)
-    label = (
-        F.when((negative > 0) & (score < p.positive_from), "hard_negative")
-        .when(score >= p.positive_from, "positive")
-        .when(score >= p.uncertain_from, "uncertain")
-        .otherwise("none")
-    )
-    return F.struct(F.lit(category).alias("category"), score.cast("int").alias("score"), label.alias("label"))
+
+    def labelled(s: Column) -> Column:
+        label = (
+            F.when((s["negative"] > 0) & (s["score"] < p.positive_from), "hard_negative")
+            .when(s["score"] >= p.positive_from, "positive")
+            .when(s["score"] >= p.uncertain_from, "uncertain")
+            .otherwise("none")
+        )
+        return F.struct(F.lit(category).alias("category"), s["score"].alias("score"), label.alias("label"))
+
+    return let(F.struct(score.cast("int").alias("score"), negative.alias("negative")), labelled)
 
 
 def category_scores(logs: DataFrame, key: str) -> DataFrame:
     """(key, category, score, label) for logs with dataset, level and text."""
-    scores = F.array(*[category_score(c, F.col("dataset"), F.col("level"), F.col("text")) for c in PROFILES])
+    scores = let(F.col("text"), lambda t: F.array(*[category_score(c, F.col("dataset"), F.col("level"), t) for c in PROFILES]))
     return logs.select(key, F.explode(scores).alias("s")).select(key, "s.category", "s.score", "s.label")
 
 
