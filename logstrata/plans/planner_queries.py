@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.operators import planner
+from logstrata.operators import chunks, planner
 from logstrata.session import table
 
 QUESTIONS = ["show the latest ERROR logs of hdfs", "newest WARN logs of openstack at 10.1.2.3", "latest critical logs of apache"]
@@ -75,3 +75,42 @@ ORACLE = {
     "pending_search": _PENDING_SEARCH,
     "answer_checks": "SELECT incident_id AS answer_id, CASE WHEN s LIKE '%gecko%' THEN 'invalid line citations: L77' ELSE 'conclusion without citation' END AS problems FROM (SELECT incident_id, min(root_cause_summary) AS s FROM incidents GROUP BY ALL)",
 }
+
+
+def line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "log_records")
+    return chunks.line_chunks(rows).select("log_id", "template", "request_id", "instance_id", "block_id", "ip", "duration_ms", "source_log", F.md5("embed_text").alias("embed_md5"))
+
+
+def chunk_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.payload(chunks.line_chunks(table(spark, d, "log_records"))).select("log_id", F.length("payload").alias("n_chars"))
+
+
+def local_rank(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.local_rank(_logs(spark, d), ["blocknode", "volume", "detached"], 50).select("seq", "score")
+
+
+_LOCAL = """SELECT seq, score FROM (SELECT seq, (epoch_us(ingested_at) // 1000) AS ts, (""" + " + ".join(
+    f"3 * coalesce(contains(lower(component), '{t}'), false)::int + 2 * coalesce(contains(lower(message), '{t}'), false)::int" for t in ["blocknode", "volume", "detached"]
+) + """)::int AS score, level FROM log_records) WHERE score > 0{where} ORDER BY score DESC, ts DESC, seq DESC LIMIT {n}"""
+
+
+def incident_pick(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.pick_incident(_logs(spark, d), ["blocknode", "volume", "detached"]).select("seq", "score")
+
+
+def corpus_quality(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.quality(table(spark, d, "log_records"))
+
+
+_QUALITY = """WITH c AS (SELECT dataset, nullif(trim(template_id), '') AS t, count(*) AS n, sum(length(message)) AS chars FROM log_records GROUP BY ALL),
+top AS (SELECT dataset, sum(n) AS top20 FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, t) AS k FROM c WHERE t IS NOT NULL) WHERE k <= 20 GROUP BY dataset),
+p AS (SELECT dataset, sum(n) AS rows, coalesce(sum(n) FILTER (t IS NOT NULL), 0) AS matched, count(t) AS templates, count(*) FILTER (t IS NOT NULL AND n = 1) AS singletons, sum(chars) AS chars FROM c GROUP BY dataset)
+SELECT dataset, rows::bigint AS rows, templates, round(matched / rows, 6) AS coverage, round(coalesce(singletons / nullif(templates, 0), 0), 6) AS singleton_ratio, round(coalesce(top20 / nullif(matched, 0), 0), 6) AS top20_coverage,
+round(chars / rows, 6) AS mean_message_length FROM p LEFT JOIN top USING (dataset)"""
+QUERIES |= {"line_chunks": line_chunks, "chunk_payloads": chunk_payloads, "local_rank": local_rank, "incident_pick": incident_pick, "corpus_quality": corpus_quality}
+ORACLE |= {
+    "local_rank": _LOCAL.format(where="", n=50),
+    "incident_pick": _LOCAL.format(where=" AND level IN ('ERROR', 'CRITICAL')", n=1),
+    "corpus_quality": _QUALITY,
+}
