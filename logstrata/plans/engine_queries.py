@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logstrata.functions import text as tx
 from logstrata.functions.ids import ident
 from logstrata.operators import dashboard, ingest, metrics, rca, retrieval, rules
-from logstrata.session import table
+from logstrata.session import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -110,26 +110,26 @@ def inferred_timestamp(spark, d):
 array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b(?:\d{1,3}\.){3}\d{1,3}\b'))), ',') AS ip FROM (SELECT seq, coalesce(raw_log, '') || ' ' || coalesce(message, '') AS t FROM log_records)""")
 def entity_arrays(spark, d):
     text = F.concat(F.coalesce("raw_log", F.lit("")), F.lit(" "), F.coalesce("message", F.lit("")))
-    e = table(spark, d, "log_records").select("seq", tx.entities(text).alias("e"))
+    e = spread(table(spark, d, "log_records")).select("seq", tx.entities(text).alias("e"))
     return e.select("seq", *[F.array_join(F.sort_array(f"e.{k}"), ",").alias(k) for k in ("block_id", "ip_port", "ip")])
 
 
 @query()
 def entity_instances(spark, d):
     text = F.concat(F.coalesce("raw_log", F.lit("")), F.lit(" "), F.coalesce("message", F.lit("")))
-    e = table(spark, d, "log_records").select("seq", tx.entities(text).alias("e"))
+    e = spread(table(spark, d, "log_records")).select("seq", tx.entities(text).alias("e"))
     return e.select("seq", *[F.array_join(f"e.{k}", ",").alias(k) for k in ("request_id", "instance_id", "uuid", "hex_id", "path")])
 
 
 @query()
 def normalized_templates(spark, d):
-    return table(spark, d, "log_records").select("seq", tx.normalize_template(F.col("message")).alias("template"), tx.sanitize(F.col("message")).alias("embed_message"))
+    return spread(table(spark, d, "log_records")).select("seq", tx.normalize_template(F.col("message")).alias("template"), tx.sanitize(F.col("message")).alias("embed_message"))
 
 
 @query()
 def template_groups(spark, d):
     """Templates with their counts, line and time ranges, and up to five samples."""
-    rows = table(spark, d, "log_records").select("dataset", "component", tx.normalize_template(F.col("message")).alias("template"), "seq", "line_number", "ingested_at", "message")
+    rows = spread(table(spark, d, "log_records")).select("dataset", "component", tx.normalize_template(F.col("message")).alias("template"), "seq", "line_number", "ingested_at", "message")
     firsts = ingest.top_per_group(rows, ["dataset", "component", "template"], [F.col("seq")], 5)
     samples = firsts.groupBy("dataset", "component", "template").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("samples"))
     groups = rows.groupBy("dataset", "component", "template").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.min("ingested_at").alias("first_at"), F.max("ingested_at").alias("last_at"))
@@ -143,7 +143,7 @@ MAX_RULES = 500
 @query()
 def template_matches(spark, d):
     """Every message against a catalog compiled from the mined templates, first rule by id."""
-    rows = table(spark, d, "log_records").select("seq", "dataset", "message")
+    rows = spread(table(spark, d, "log_records")).select("seq", "dataset", "message")
     counts = rows.groupBy("dataset", tx.normalize_template(F.col("message")).alias("template")).agg(F.count("*").alias("n"))
     catalog = ingest.top_per_group(counts, ["dataset"], [F.desc("n"), F.col("template")], 50).filter("template <> ''").limit(MAX_RULES).collect()
     by_dataset: dict[str, list] = {}
@@ -226,7 +226,7 @@ _RULES = (
 
 
 def _category_scores(spark, d):
-    rows = table(spark, d, "log_records")
+    rows = spread(table(spark, d, "log_records"))
     return rules.category_scores(rows.withColumn("text", rules.log_text("raw_log", "message", "component", "level", "event_id")), "seq")
 
 
@@ -293,7 +293,7 @@ sc AS (SELECT query_id, log_id, template, seq, round(len(ov)::double / n + 0.05
 
 
 def _lexical(spark, d):
-    logs = table(spark, d, "log_records").select("seq", "log_id", F.coalesce("template_id", F.lit("")).alias("template"), F.col("message").alias("text"))
+    logs = spread(table(spark, d, "log_records")).select("seq", "log_id", F.coalesce("template_id", F.lit("")).alias("template"), F.col("message").alias("text"))
     return retrieval.lexical_scores(logs, QUERY_BANK)
 
 
