@@ -73,7 +73,7 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
+    return leakage.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_plan(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.plan(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return mixing.plan(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -92,12 +92,12 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.find_mentions(spread(table(spark, d, "documents")), table(spark, d, "staff_directory"))
+    found = pii.find_mentions(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "staff_directory"))
     return found.select("doc_id", "pii_type", "pii_text").distinct()
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(spread(table(spark, d, "documents")), table(spark, d, "staff_directory"))
+    return pii.redact(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "staff_directory"))
 
 
 QUERIES = {"p9_plan": p9_plan, "p9_mix": p9_mix, "p10_found": p10_found, "p10_redacted": p10_redacted, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
