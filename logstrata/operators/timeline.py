@@ -93,7 +93,8 @@ def estimate_zones(df: DataFrame, text: str, host: str, ingested: str, zones: Da
     timed = timed.select("__host", p["zone"].isNull().alias("naive"), F.date_trunc("hour", p["local"]).alias("hour"), lag.alias("lag"))
     counts = timed.groupBy("__host", "naive", "hour", "lag").agg(F.count("*").alias("n"))
     counts = counts.filter(F.col("naive") & F.col("__host").isNotNull() & F.col("lag").isNotNull())
-    tried = counts.join(F.broadcast(zones.select(F.col("zone").alias("try_zone")).distinct().limit(MAX_ZONES)))
+    names = [r.zone for r in zones.select("zone").filter("zone IS NOT NULL").distinct().limit(MAX_ZONES).collect()]
+    tried = counts.withColumn("try_zone", F.explode(F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")))
     offset = F.floor((F.unix_millis("hour") - F.unix_millis(F.to_utc_timestamp("hour", F.col("try_zone")))) / 60000)
     delay = F.col("lag") + offset
     wrong = (delay < -1) | (delay > late_ms // 60000)
