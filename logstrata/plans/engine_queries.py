@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import text as tx
 from logstrata.functions.ids import ident
-from logstrata.operators import dashboard, ingest, metrics, rca, retrieval, rules
-from logstrata.session import spread, table
+from logstrata.operators import catalog, dashboard, ingest, metrics, rca, retrieval, rules
+from logstrata.session import materialize, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -137,23 +137,13 @@ def template_groups(spark, d):
     return groups.join(samples, same).select(*[groups[c] for c in groups.columns], "samples")
 
 
-MAX_RULES = 500
-
-
 @query()
 def template_matches(spark, d):
-    """Every message against a catalog compiled from the mined templates, first rule by id."""
-    rows = spread(table(spark, d, "log_records")).select("seq", "dataset", "message")
-    counts = rows.groupBy("dataset", tx.normalize_template(F.col("message")).alias("template")).agg(F.count("*").alias("n"))
-    catalog = ingest.top_per_group(counts, ["dataset"], [F.desc("n"), F.col("template")], 50).filter("template <> ''").limit(MAX_RULES).collect()
-    by_dataset: dict[str, list] = {}
-    for r in sorted(catalog, key=lambda r: (r.dataset, -r.n, r.template)):
-        by_dataset.setdefault(r.dataset, []).append(tx.regex_from_template(r.template)[0])
-    match = F
-    for name, patterns in by_dataset.items():
-        for k, p in enumerate(patterns):
-            match = match.when((F.col("dataset") == name) & F.col("message").rlike(p), F.lit(f"{name}::T{k}"))
-    return rows.select("seq", (match.otherwise(F.lit(None)) if by_dataset else F.lit(None).cast("string")).alias("template_id"))
+    """Every message against a catalog compiled from all mined templates, first rule by number, else its own template."""
+    logs = spread(table(spark, d, "log_records").select("seq", "dataset", "message"))
+    rows = materialize(logs.withColumn("template", tx.normalize_template(F.col("message"))), "messages")
+    found = catalog.match_templates(rows, catalog.compile_catalog(rows), "seq")
+    return found.select("seq", F.concat("dataset", F.lit("::T"), "k").alias("template_id"))
 
 
 # --- root cause --------------------------------------------------------------------------
