@@ -10,8 +10,7 @@ from logstrata.operators import template_tree, timeline
 from logstrata.session import spread, table
 
 
-def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Every candidate with its rho, mean rank and number of scores."""
+def _p1_scored(spark: SparkSession, d: str) -> DataFrame:
     candidates = table(spark, d, "rca_candidates").select("incident_id", "log_id", "rca_score", "components")
     hits = table(spark, d, "retrieval_results").groupBy("incident_id", F.col("primary_id").alias("log_id")).agg(F.max("semantic_score").alias("semantic"))
     joined = candidates.join(hits, ["incident_id", "log_id"], "left")
@@ -20,8 +19,13 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank.aggregate_ranks(joined.withColumn("scores", scores), "incident_id", "log_id", "scores")
 
 
+def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate with its rho, mean rank and number of scores."""
+    return _p1_scored(spark, d).drop("log_rho")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return rank.first_ranked(p1_ranking(spark, d), "incident_id", "log_id")
+    return rank.first_ranked(_p1_scored(spark, d), "incident_id", "log_id")
 
 
 P1_RANKING_SQL = """

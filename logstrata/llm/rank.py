@@ -8,7 +8,8 @@ items are ranked by rho. Scales and ranges play no part.
 
 Defined results: a score an item lacks (null, NaN or not in the map) ties with the lowest
 value of its group; a score that all items of a group lack does not count; a group without
-any score ranks its items by identifier; equal rho are ordered by mean rank, then by
+any score ranks its items by identifier; items are ranked by the logarithm of rho, as rho itself
+is rounded to 12 decimals in the output and 0 for the best of a large group; equal rho are ordered by mean rank, then by
 identifier; rows without group or item are not ranked; an item listed more than once counts once, with its highest values.
 """
 
@@ -44,23 +45,38 @@ def tied_ranks(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return counts.select(*group, value, (above + (F.col("c") + 1) / 2).alias("rank"), "n")
 
 
+def _choose(n: Column, j: Column) -> Column:
+    return F.aggregate(F.when(j < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), j)), F.lit(1.0), lambda acc, i: acc * (n - j + i) / i)
+
+
 def rho(ranks: Column) -> Column:
     """Corrected smallest beta order-statistic probability of an array of normalised ranks."""
     ordered = F.sort_array(ranks)
     n = F.size(ranks)
 
-    def choose(j: Column) -> Column:
-        return F.aggregate(F.when(j < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), j)), F.lit(1.0), lambda acc, i: acc * (n - j + i) / i)
-
     def tail(r: Column, k: Column) -> Column:
-        return F.aggregate(F.sequence(k + 1, n), F.lit(0.0), lambda acc, j: acc + choose(j) * F.pow(r, j) * F.pow(1 - r, n - j))
+        return F.aggregate(F.sequence(k + 1, n), F.lit(0.0), lambda acc, j: acc + _choose(n, j) * F.pow(r, j) * F.pow(1 - r, n - j))
 
     smallest = F.array_min(F.transform(ordered, tail))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), smallest * n))
 
 
+def log_rho(ranks: Column) -> Column:
+    """Logarithm of rho, which stays exact where rho is too small for its rounding."""
+    ordered = F.sort_array(ranks)
+    n = F.size(ranks)
+
+    def log_tail(r: Column, k: Column) -> Column:
+        # r ** k is left out of the sum, so that small ranks do not vanish
+        rest = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda acc, j: acc + _choose(n, j) * F.pow(r, j - k) * F.pow(1 - r, n - j))
+        return k * F.ln(r) + F.ln(rest)
+
+    smallest = F.array_min(F.transform(ordered, lambda r, i: log_tail(r, i + 1)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(0.0), smallest + F.ln(n)))
+
+
 def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str) -> DataFrame:
-    """(group, item, rho, mean_rank, n_scores) for items with a map of scores."""
+    """(group, item, rho, mean_rank, n_scores, log_rho) for items with a map of scores."""
     cleaned = F.map_filter(F.coalesce(scores, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), lambda k, v: v.isNotNull() & ~F.isnan(v))
     items = items.select(F.col(group).alias("g"), F.col(item).alias("i"), cleaned.alias("scores")).filter("g IS NOT NULL AND i IS NOT NULL")
     entries = items.select("g", "i", F.explode("scores").alias("score", "value")).groupBy("g", "i", "score").agg(F.max("value").alias("value"))
@@ -80,9 +96,11 @@ def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str) -> Dat
         F.round(rho(F.col("ranks")), 12).alias("rho"),
         F.round(F.try_divide(F.aggregate("ranks", F.lit(0.0), lambda a, r: a + r), F.size("ranks")), 9).alias("mean_rank"),
         F.size("ranks").alias("n_scores"),
+        log_rho(F.col("ranks")).alias("log_rho"),
     )
 
 
 def first_ranked(ranked: DataFrame, group: str, item: str) -> DataFrame:
-    best = F.min(F.struct("rho", F.coalesce("mean_rank", F.lit(2.0)), item)).alias("b")
+    # sums of doubles: equal rho may differ in their last digits
+    best = F.min(F.struct(F.round("log_rho", 10).alias("log_rho"), F.coalesce("mean_rank", F.lit(2.0)), item)).alias("b")
     return ranked.groupBy(group).agg(best).select(group, F.col("b")[item].alias(item))
