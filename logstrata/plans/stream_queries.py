@@ -22,7 +22,7 @@ def _finish(frame: DataFrame, name: str, mode: str) -> DataFrame:
 
 
 def stream_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Windows closed by the watermark and those still open, from a stream of files."""
+    """Windows closed by the watermark, from a stream of files; events of windows still open at its end are in no row."""
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = streams.read_stream(spark, path, schema).withColumn("at", F.col("ts").cast("timestamp"))
