@@ -116,8 +116,34 @@ def test_entries_across_blocks(spark):
     assert template_tree.entries(df.limit(0)).count() == 0
 
 
+def test_fields_behind_any_number_of_tokens(spark):
+    more = ", ".join(f'"k{k}": "v {k}"' for k in range(40))
+    groups = "".join(f"[g{k} x] " for k in range(30))
+    data = [
+        (1, f'{{{more}, "ts": "2025-01-02T03:04:05Z", "level": "warn", "logger": "a.b", "msg": "it {more.count(chr(34))}"}}'),
+        (2, f"{' '.join(f'k{k}=v' for k in range(40))} time=2025-01-02T03:04:06Z severity=info module=c.d msg=\"x y\""),
+        (3, f"[Sun Mar 30 02:55:23 2025] [m:error] {groups}it broke"),
+        (4, '{"when_seen": "2025-01-02T03:04:07Z", "importance": "fatal", "logger": "e"}'),
+    ]
+    p = template_tree.parse(spark.createDataFrame(data, "id long, line string"), "line", ["id", "line"])
+    message = template_tree.message_text(F.col("line"), F.col("tokens"), F.col("msg"), F.col("named"))
+    got = {r.id: (r.ts_text, r.level, r.component, r.m) for r in p.withColumn("m", message).collect()}
+    assert got[2] == ("2025-01-02 03:04:06", "INFO", "c.d", "x y")
+    assert got[3] == ("2025-03-30 02:55:23", "ERROR", "m", "it broke")
+    # fields of unknown names are learned from their values
+    assert got[4][:3] == ("2025-01-02 03:04:07", "CRITICAL", "e")
+    assert got[1][:3] == ("2025-01-02 03:04:05", "WARN", "a.b")
+
+
+def test_large_leaves_are_split(spark, monkeypatch):
+    monkeypatch.setattr(template_tree, "LEAF_ROWS", 3)
+    df = spark.createDataFrame([(k, line) for k, (line, _) in enumerate(LINES)] + [(100 + k, f"2025-01-01 00:00:00 1 INFO a.b [-] {w} x y z") for k, w in enumerate("abcdefghij")], "id long, line string")
+    got = {r.id: (r.ts_text, r.level, r.component) for r in template_tree.parse(df, "line", ["id"]).collect()}
+    assert got == {k: f for k, (_, f) in enumerate(LINES)} | {100 + k: ("2025-01-01 00:00:00", "INFO", "a.b") for k in range(10)}
+
+
 def test_similar_templates_merge_but_keys_do_not():
-    templates, chosen = template_tree.merge_templates([["<lv>", ":", "a", "b", "c"], ["<lv>", ":", "a", "b", "d"], ["<lv>", "=", "a", "b", "c"]])
+    templates, chosen, _ = template_tree.merge_templates([["<lv>", ":", "a", "b", "c"], ["<lv>", ":", "a", "b", "d"], ["<lv>", "=", "a", "b", "c"]])
     assert chosen == [0, 0, 1] and templates[0] == ["<lv>", ":", "a", "b", "<*>"]
 
 
