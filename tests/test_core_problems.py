@@ -176,9 +176,9 @@ def test_instants(spark):
     candidates = timeline.host_candidates(spark.createDataFrame(ZONES, "host string, tz_name string, date_order string"))
     data = [(k, h, t, "z") for k, (h, t, _, _) in enumerate(STAMPS)] + [(100 + k, "h1", t, "z") for k, t in enumerate(BAD)]
     df = spark.createDataFrame(data, "seq long, host string, ts string, zone string")
-    got = {r.seq: r.ts_ms for r in timeline.instants(df, "ts", "host", candidates, ["seq", "zone"]).collect()}
+    got = {r.seq: r.ts_ms for r in timeline.instants(df, "ts", "host", None, candidates, ["seq", "zone"]).collect()}
     assert got == {k: int(datetime.fromisoformat(i).timestamp()) * 1000 + ms for k, (_, _, i, ms) in enumerate(STAMPS)}
-    assert timeline.instants(df.limit(0), "ts", "host", candidates, ["seq"]).count() == 0
+    assert timeline.instants(df.limit(0), "ts", "host", None, candidates, ["seq"]).count() == 0
 
 
 def test_zone_estimate(spark):
@@ -188,12 +188,34 @@ def test_zone_estimate(spark):
             at = base + timedelta(hours=7 * k)
             data.append((h, (at + timedelta(minutes=shift)).strftime("%Y-%m-%d %H:%M:%S"), (at + timedelta(seconds=5)).replace(tzinfo=timezone.utc)))
     df = spark.createDataFrame(data, "host string, ts string, ingested_at timestamp")
-    zones = spark.createDataFrame([("Europe/Berlin",), ("America/New_York",), ("UTC",), ("Asia/Kolkata",)], "zone string")
+    zones = ["Europe/Berlin", "America/New_York", "UTC", "Asia/Kolkata"]
     none = timeline.host_candidates(spark.createDataFrame([], "host string, tz_name string, date_order string"))
     got = {r.host: (r.zone, r.violations) for r in timeline.estimate_zones(df, "ts", "host", "ingested_at", zones, none).collect()}
     assert got == {"a": ("Europe/Berlin", 0), "b": ("America/New_York", 0), "c": ("UTC", 0)}
 
 
+def test_one_instant_for_an_abbreviation_with_several_offsets(spark):
+    candidates = timeline.host_candidates(spark.createDataFrame([("m", "Europe/Moscow", "dmy")], "host string, tz_name string, date_order string"))
+    data = [(1, "m", "2025-03-01 10:00:00 MSK"), (2, "m", "2012-03-01 10:00:00 MSK"), (3, "m", "2009-01-15 10:00:00 MSK"), (4, "m", "2025-03-01 10:00:00 EST")]
+    got = rows(timeline.instants(spark.createDataFrame(data, "seq long, host string, ts string"), "ts", "host", None, candidates, ["seq"]))
+    at = lambda s: int(datetime.fromisoformat(s).timestamp()) * 1000
+    assert got == [(1, at("2025-03-01T07:00:00+00:00")), (2, at("2012-03-01T06:00:00+00:00")), (3, at("2009-01-15T07:00:00+00:00"))]
+
+
+def test_hosts_without_listed_zone_take_the_history_that_fits(spark):
+    candidates = timeline.host_candidates(spark.createDataFrame([("x", "Asia/Kolkata", "dmy")], "host string, tz_name string, date_order string"))
+    base, data = datetime(2025, 6, 1), []
+    for host, minutes, n in (("far", 330, 40), ("few", 330, 5), ("near", 0, 40), (None, 330, 40)):
+        for k in range(n):
+            at = base + timedelta(hours=7 * k)
+            data.append((len(data), host, (at + timedelta(minutes=minutes)).strftime("%Y-%m-%d %H:%M:%S"), (at + timedelta(seconds=5)).replace(tzinfo=timezone.utc)))
+    df = spark.createDataFrame(data, "seq long, host string, ts string, ingested timestamp")
+    got = {r.seq: r.ts_ms for r in timeline.instants(df, "ts", "host", "ingested", candidates, ["seq"]).collect()}
+    shift = {host: got[seq] + 5000 - int(at.timestamp()) * 1000 for seq, host, _, at in data}
+    # five rows are no evidence against UTC; rows without host have no history
+    assert shift == {"far": 0, "few": 330 * 60000, "near": 0, None: 330 * 60000}
+
+
 # --- 6: orphans
 def test_orphan_kinds(spark):
     t = lambda day: datetime(2025, 1, day, tzinfo=timezone.utc)
