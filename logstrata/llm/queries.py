@@ -72,7 +72,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     """All events with runs collapsed: count and duration of each."""
     candidates = timeline.host_candidates(table(spark, d, "host_zones"))
-    times = timeline.instants(table(spark, d, "log_records").select("seq", "timestamp", "host"), "timestamp", "host", candidates, ["seq"])
+    times = timeline.instants(table(spark, d, "log_records").select("seq", "timestamp", "host", "ingested_at"), "timestamp", "host", "ingested_at", candidates, ["seq"])
     return runs.collapse_runs(_p4_events(spark, d).join(times, "seq", "left"))
 
 
