@@ -6,7 +6,8 @@ row per task before anything is shuffled), hash-partitioned by identifier into a
 number of buckets and written sorted inside each bucket. Writing the same run id again
 replaces that run. Compaction merges two runs bucket by bucket: both sides have the same
 bucketing and order, so Spark plans a merge join without an exchange, and equal identifiers
-collapse to the entry with the smallest sequence number.
+collapse to the entry with the smallest sequence number. The result is one run; the tables
+and files of the others are dropped.
 
 Defined results: a null or blank identifier names no message, its rows are never duplicates;
 identifiers are compared without letter case and surrounding blanks; of rows with the same
@@ -42,11 +43,12 @@ class RunStore:
         collapsed = entries.filter(F.col("ident").isNotNull()).groupBy(*KEY).agg(F.min("seq").alias("seq"))
         self._write(run_id, collapsed)
 
-    def _write(self, run_id: str, df: DataFrame) -> None:
+    def _write(self, run_id: str, df: DataFrame, merged: bool = False) -> None:
+        """A run; the merge of two runs has their buckets and order already."""
         name = f"{self._tag}_{run_id}"
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         (
-            df.repartition(self.buckets, *KEY)
+            (df if merged else df.repartition(self.buckets, *KEY))
             .write.bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
             .option("path", f"{self.path}/{run_id}")
@@ -55,23 +57,31 @@ class RunStore:
         )
         self._runs[run_id] = name
 
+    def _drop(self, run_id: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._runs.pop(run_id)}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run_id}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def compact(self) -> DataFrame:
         """One entry per identifier: runs are merged pairwise until one is left."""
         legacy = "spark.sql.legacy.bucketedTableScan.outputOrdering"
         before = self.spark.conf.get(legacy, "false")
-        self.spark.conf.set(legacy, "true")  # one file per bucket: the scan is sorted already
+        self.spark.conf.set(legacy, "true")  # one file per bucket: the scans are sorted already
         try:
             level = 0
-            while len(self._runs) > 2:
-                pending, level = list(self._runs.items()), level + 1
+            while len(self._runs) > 1:
+                pending, level = list(self._runs), level + 1
                 for k in range(0, len(pending) - 1, 2):
-                    (a, ta), (b, tb) = pending[k], pending[k + 1]
-                    self._write(f"m{level}_{k}", merge_runs(self.spark.table(ta), self.spark.table(tb)))
-                    del self._runs[a], self._runs[b]
-            tables = [self.spark.table(t) for t in self._runs.values()]
-            return tables[0] if len(tables) == 1 else merge_runs(*tables)
+                    a, b = pending[k : k + 2]
+                    self._write(f"m{level}_{k}", merge_runs(self.spark.table(self._runs[a]), self.spark.table(self._runs[b])), merged=True)
+                    self._drop(a)
+                    self._drop(b)
         finally:
             self.spark.conf.set(legacy, before)
+        (last,) = self._runs
+        found = self.spark.read.schema(self.spark.table(self._runs[last]).schema).parquet(f"{self.path}/{last}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._runs[last]}")  # of an external table the files stay
+        return found
 
 
 def merge_runs(a: DataFrame, b: DataFrame) -> DataFrame:

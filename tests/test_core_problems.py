@@ -51,12 +51,16 @@ def test_survivors_keep_all_columns(spark):
     assert sorted(r.seq for r in kept.collect()) == [1, 3, 4]
 
 
-def test_merge_of_sorted_runs_needs_no_exchange(spark):
+def test_merge_of_sorted_runs_needs_no_exchange_and_no_sort(spark):
     store = run_store.RunStore(spark, buckets=2)
     store.upsert("a", entries(spark, [("t", "x", 1, 0)]))
     store.upsert("b", entries(spark, [("t", "x", 2, 0)]))
-    plan = store.compact()._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    plans = []
+    write = store._write
+    store._write = lambda run_id, df, merged=False: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(run_id, df, merged))
+    assert rows(store.compact()) == [("t", "x", 1)]
+    assert "SortMergeJoin" in plans[0] and "Exchange" not in plans[0] and "Sort [" not in plans[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(store._tag)]
 
 
 # --- 3: log lines into fields
@@ -231,6 +235,21 @@ def test_orphan_kinds(spark):
     assert {r.kind for r in orphans.orphans(refs, parents.limit(0), deleted, 0).collect()} == {"missing"}
 
 
+def test_filters_beyond_the_broadcast_bound_give_the_same_orphans(spark, monkeypatch):
+    parents = spark.range(3000).select(F.lit("log").alias("parent_tbl"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("key"), F.lit(datetime(2025, 1, 1)).alias("available_at"))
+    refs = spark.range(4000).select(F.lit("q").alias("tbl"), F.col("id").cast("string").alias("rec_id"), F.lit("log").alias("parent_tbl"), F.concat(F.lit("p"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))).alias("ref_id"), F.lit(datetime(2025, 2, 1)).alias("created_at"))
+    deleted = spark.createDataFrame([("log", "p7")], "parent_tbl string, key string")
+    wanted = rows(orphans.orphans(refs, parents, deleted, 3000))
+    assert len(wanted) == 1334 + 667 and ("q", "7", "p7", "deleted", "2025-02") in wanted
+    monkeypatch.setattr(orphans, "MAX_BROADCAST_WORDS", 0)
+    assert rows(orphans.orphans(refs, parents, deleted, 3000)) == wanted
+
+
+def test_filters_keep_sixteen_bits_a_key():
+    for n in (10, 10**6, 10**8, 10**10):
+        assert orphans.words_for(n) * 64 >= 16 * n
+
+
 def test_bloom_never_misses_a_key(spark):
     keys = spark.range(5000).select(F.col("id").cast("string").alias("k"))
     for words in (64, 2048):
