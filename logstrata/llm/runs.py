@@ -21,14 +21,28 @@ from logstrata.operators.blocks import carry
 BLOCK_LINES = 4096
 
 
+# Parts that make a hyphenated word part of a statement ("read-only", "fail-over")
+# and no name of an object ("zinc-vole").
+PARTS = (
+    "only", "over", "back", "up", "down", "out", "in", "off", "on", "through", "away", "by", "to", "of", "free", "based", "aware", "side", "wide", "time", "end",
+    "ready", "bound", "level", "order", "path", "memory", "disk", "state", "mode", "phase", "running", "lived", "way", "safe", "like", "term", "run", "scan", "known",
+    "non", "re", "pre", "post", "multi", "sub", "un", "auto", "self", "co", "de", "mis", "cross", "inter", "intra", "semi", "half", "full", "read", "write", "fail", "roll",
+    "log", "check", "hand", "shut", "start", "fast", "slow", "long", "short", "high", "low", "hot", "cold", "warm", "old", "new", "first", "last", "single", "double", "two", "three",
+    "one", "open", "closed", "hard", "soft", "pass", "time", "look", "follow", "clean", "set", "not", "no", "so", "well", "then", "and", "or", "per", "out",
+)
+
+
 def message_key(message: Column) -> Column:
     """A hash of what a message says: letter case, spacing and the values in it do not count.
 
     Values are words with digits or slashes (ids, addresses, paths, numbers, durations) and
-    hyphenated names.
+    hyphenated names. A hyphenated word with one of `PARTS` on either side belongs to the
+    statement: "read-only" and "write-only" differ.
     """
     text = F.translate(F.lower(F.coalesce(message, F.lit(""))), "\u00a0\u2007\u202f\u3000", "    ")
-    plain = F.regexp_replace(text, r"\S*[\d/]\S*|[a-z]+-[a-z]+", "#")
+    parts = "|".join(sorted(set(PARTS)))
+    name = rf"\b(?!(?:{parts})-)[a-z]+-(?!(?:{parts})\b)[a-z]+\b(?!-)"
+    plain = F.regexp_replace(text, rf"\S*[\d/]\S*|{name}", "#")
     return F.xxhash64(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
