@@ -11,12 +11,12 @@ from logstrata.session import spread, table
 
 
 def _p1_scored(spark: SparkSession, d: str) -> DataFrame:
-    candidates = table(spark, d, "rca_candidates").select("incident_id", "log_id", "rca_score", "components")
-    hits = table(spark, d, "retrieval_results").groupBy("incident_id", F.col("primary_id").alias("log_id")).agg(F.max("semantic_score").alias("semantic"))
-    joined = candidates.join(hits, ["incident_id", "log_id"], "left")
+    """Candidates and hits are rows of scores side by side; hits of logs that are no candidates are not listed."""
     named = F.transform_keys(F.coalesce("components", F.create_map().cast("map<string,double>")), lambda k, v: F.concat(F.lit("component "), k))
-    scores = F.map_concat(named, F.create_map(F.lit("rca"), F.col("rca_score"), F.lit("semantic"), F.col("semantic")))
-    return rank.aggregate_ranks(joined.withColumn("scores", scores), "incident_id", "log_id", "scores")
+    scores = F.map_concat(named, F.create_map(F.lit("rca"), F.col("rca_score")))
+    candidates = table(spark, d, "rca_candidates").select("incident_id", "log_id", scores.alias("scores"), F.lit(True).alias("listed"))
+    hits = table(spark, d, "retrieval_results").select("incident_id", F.col("primary_id").alias("log_id"), F.create_map(F.lit("semantic"), F.col("semantic_score")).alias("scores"), F.lit(False).alias("listed"))
+    return rank.aggregate_ranks(candidates.unionByName(hits), "incident_id", "log_id", "scores", "listed")
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ tails AS (SELECT p.incident_id, p.log_id, p.k, p.n, any_value(p.r) AS r,
 SELECT incident_id, log_id, round(least(1.0, min(t) * max(n)), 12) AS rho, round(avg(r), 9) AS mean_rank, max(n)::int AS n_scores
 FROM tails GROUP BY incident_id, log_id
 """
-P1_SQL = f"""SELECT incident_id, log_id FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY rho, mean_rank, log_id) AS rn
+P1_SQL = f"""SELECT incident_id, log_id FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY CASE WHEN rho < 0.05 THEN rho ELSE 1 END, mean_rank, log_id) AS rn
 FROM ({P1_RANKING_SQL})) WHERE rn = 1"""
 
 

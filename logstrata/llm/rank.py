@@ -4,13 +4,18 @@ Every score is turned into normalised ranks inside its group (1 is best, ties sh
 mean rank, rank / number of items). For an item with sorted normalised ranks r(1) <= ... <=
 r(n), the chance that the k-th smallest of n uniform ranks is at most r(k) is the tail of a
 binomial distribution; the smallest of these, times n (at most 1), is the item's rho, and
-items are ranked by rho. Scales and ranges play no part.
+items are ranked by significance: by rho where it is below `SIGNIFICANT`; items beyond that
+cannot be told from chance by their best ranks, they follow in order of their mean rank.
+Scales and ranges play no part.
 
 Defined results: a score an item lacks (null, NaN or not in the map) ties with the lowest
 value of its group; a score that all items of a group lack does not count; a group without
-any score ranks its items by identifier; items are ranked by the logarithm of rho, as rho itself
+any score ranks its items by identifier; significant items are ranked by the logarithm of rho, as rho itself
 is rounded to 12 decimals in the output and 0 for the best of a large group; equal rho are ordered by mean rank, then by
 identifier; rows without group or item are not ranked; an item listed more than once counts once, with its highest values.
+
+A group of up to `ARRAY_ROWS` rows is ranked in one row of arrays, after one shuffle; larger
+ones are ranked in blocks of values. The result is the same.
 """
 
 from __future__ import annotations
@@ -19,8 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logstrata.functions.timestamps import let
 from logstrata.operators.blocks import carry
+from logstrata.session import materialize
 
+#: Items whose rho is not below this are no better than chance and ordered by mean rank.
+SIGNIFICANT = 0.05
+#: Groups of up to this many rows are ranked as arrays.
+ARRAY_ROWS = 256
 #: Groups above this many rows are ranked in blocks of values.
 BLOCK_ROWS = 20_000
 CUTS = 64
@@ -75,22 +86,25 @@ def log_rho(ranks: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(0.0), smallest + F.ln(n)))
 
 
-def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str) -> DataFrame:
-    """(group, item, rho, mean_rank, n_scores, log_rho) for items with a map of scores."""
-    cleaned = F.map_filter(F.coalesce(scores, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), lambda k, v: v.isNotNull() & ~F.isnan(v))
-    items = items.select(F.col(group).alias("g"), F.col(item).alias("i"), cleaned.alias("scores")).filter("g IS NOT NULL AND i IS NOT NULL")
-    entries = items.select("g", "i", F.explode("scores").alias("score", "value")).groupBy("g", "i", "score").agg(F.max("value").alias("value"))
-    lowest = entries.groupBy("g", "score").agg(F.min("value").alias("low"))
-    lows = lowest.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("score", "low"))).alias("lows"))
-    salted = lows.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    whole = entries.groupBy("g", "i").agg(F.map_from_entries(F.collect_list(F.struct("score", "value"))).alias("scores"))
-    bare = items.filter(F.size("scores") == 0).select("g", "i").distinct().join(whole.select("g", "i"), ["g", "i"], "left_anti")
-    whole = whole.unionByName(bare, allowMissingColumns=True).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
-    full = whole.join(salted, ["g", "salt"], "left").select("g", "i", F.explode_outer("lows").alias("score", "low"), "scores")
-    full = full.select("g", "i", "score", F.coalesce(F.col("scores")[F.col("score")], "low").alias("value"))
-    ranked = full.join(tied_ranks(full.filter(F.col("score").isNotNull()), ["g", "score"], "value"), ["g", "score", "value"], "left")
-    per_item = ranked.groupBy("g", "i").agg(F.collect_list(F.col("rank") / F.col("n")).alias("ranks"))
-    return per_item.select(
+def _clean(scores: str) -> Column:
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return F.map_filter(F.coalesce(scores, none), lambda k, v: v.isNotNull() & ~F.isnan(v))
+
+
+def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str, listed: str | None = None) -> DataFrame:
+    """(group, item, rho, mean_rank, n_scores, log_rho) for items with a map of scores.
+
+    Rows where `listed` is false only add scores to an item; without a listed row it is none.
+    """
+    rows = items.select(F.col(group).alias("g"), F.col(item).alias("i"), _clean(scores).alias("scores"), (F.col(listed) if listed else F.lit(True)).alias("listed"))
+    rows = rows.filter("g IS NOT NULL AND i IS NOT NULL")
+    large = materialize(rows.groupBy("g").count().filter(F.col("count") > ARRAY_ROWS).select("g"), "large_groups")
+    if large.isEmpty():
+        ranks = _array_ranks(rows)
+    else:
+        rows = materialize(rows, "scored")
+        ranks = _array_ranks(rows.join(large, "g", "left_anti")).unionByName(_block_ranks(rows.join(large, "g", "left_semi")))
+    return ranks.select(
         F.col("g").alias(group),
         F.col("i").alias(item),
         F.round(rho(F.col("ranks")), 12).alias("rho"),
@@ -100,7 +114,51 @@ def aggregate_ranks(items: DataFrame, group: str, item: str, scores: str) -> Dat
     )
 
 
+def _array_ranks(rows: DataFrame) -> DataFrame:
+    """(g, i, ranks) of small groups, each in one row: one shuffle by group serves both steps."""
+    higher = lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.greatest(x, y))
+    none = F.create_map().cast("map<string,double>")
+    per_item = rows.repartition("g").groupBy("g", "i").agg(F.max("listed").alias("listed"), F.collect_list("scores").alias("s"))
+    merged = F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(F.aggregate("s", none, higher))
+    per_item = per_item.filter("listed").select("g", F.struct("i", merged.alias("scores")).alias("item"))
+    groups = per_item.groupBy("g").agg(F.collect_list("item").alias("items"))
+    names = F.array_distinct(F.flatten(F.transform("items", lambda x: F.map_keys(x["scores"]))))
+
+    def column(name: Column) -> Column:
+        """The normalised ranks of one score, in the order of the items."""
+        raw = F.transform("items", lambda x: x["scores"][name])
+        filled = let(raw, lambda v: F.transform(v, lambda x: F.coalesce(x, F.array_min(v))))
+        # from the top: equal values stand together, their mean place is their rank
+        return let(
+            F.struct(filled.alias("v"), F.sort_array(filled, asc=False).alias("o")),
+            lambda c: F.transform(c["v"], lambda x: (F.array_position(c["o"], x) + (F.size(F.filter(c["v"], lambda y: y == x)) - 1) / 2) / F.size(c["v"])),
+        )
+
+    table = groups.select("g", "items", F.transform(names, column).alias("columns"))
+    placed = table.select("g", "columns", F.posexplode("items").alias("k", "item"))
+    return placed.select("g", F.col("item.i").alias("i"), F.transform("columns", lambda c: F.get(c, F.col("k"))).alias("ranks"))
+
+
+def _block_ranks(rows: DataFrame) -> DataFrame:
+    """(g, i, ranks) of groups of any size."""
+    listed = rows.filter("listed").select("g", "i").distinct()
+    entries = rows.select("g", "i", F.explode("scores").alias("score", "value")).groupBy("g", "i", "score").agg(F.max("value").alias("value"))
+    entries = entries.join(listed, ["g", "i"], "left_semi")
+    lowest = entries.groupBy("g", "score").agg(F.min("value").alias("low"))
+    lows = lowest.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("score", "low"))).alias("lows"))
+    salted = lows.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    whole = entries.groupBy("g", "i").agg(F.map_from_entries(F.collect_list(F.struct("score", "value"))).alias("scores"))
+    bare = listed.join(whole.select("g", "i"), ["g", "i"], "left_anti")
+    whole = whole.unionByName(bare, allowMissingColumns=True).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
+    full = whole.join(salted, ["g", "salt"], "left").select("g", "i", F.explode_outer("lows").alias("score", "low"), "scores")
+    full = materialize(full.select("g", "i", "score", F.coalesce(F.col("scores")[F.col("score")], "low").alias("value")), "full")
+    ranked = full.join(tied_ranks(full.filter(F.col("score").isNotNull()), ["g", "score"], "value"), ["g", "score", "value"], "left")
+    return ranked.groupBy("g", "i").agg(F.collect_list(F.col("rank") / F.col("n")).alias("ranks"))
+
+
 def first_ranked(ranked: DataFrame, group: str, item: str) -> DataFrame:
+    """The item of every group that ranks first by significance."""
     # sums of doubles: equal rho may differ in their last digits
-    best = F.min(F.struct(F.round("log_rho", 10).alias("log_rho"), F.coalesce("mean_rank", F.lit(2.0)), item)).alias("b")
+    significant = F.when(F.col("rho") < SIGNIFICANT, F.round("log_rho", 10)).otherwise(F.lit(0.0))
+    best = F.min(F.struct(significant.alias("log_rho"), F.coalesce("mean_rank", F.lit(2.0)), item)).alias("b")
     return ranked.groupBy(group).agg(best).select(group, F.col("b")[item].alias(item))

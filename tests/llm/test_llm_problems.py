@@ -43,7 +43,8 @@ def test_ranking_against_brute_force(spark, monkeypatch):
     data = [(g, i, v) for g, m in items.items() for i, v in m.items()] + [(None, "x", {"a": 1.0}), ("g0", None, {"a": 9.0})]
     df = spark.createDataFrame(data, "grp string, item string, scores map<string,double>").withColumn("score", F.lit(1))
     expected = brute_ranking(items)
-    for block_rows in (20_000, 3):
+    for array_rows, block_rows in ((256, 20_000), (5, 20_000), (0, 3)):
+        monkeypatch.setattr(rank, "ARRAY_ROWS", array_rows)
         monkeypatch.setattr(rank, "BLOCK_ROWS", block_rows)
         got = {(r.grp, r.item): round(r.rho, 9) for r in rank.aggregate_ranks(df, "grp", "item", "scores").collect()}
         assert got == pytest.approx(expected, abs=1e-8)
@@ -57,6 +58,22 @@ def test_large_scale_does_not_dominate(spark):
     assert rows(first) == [("g", "steady")]
 
 
+def test_unlisted_rows_only_add_scores(spark, monkeypatch):
+    data = [("g", "a", {"x": 1.0}, True), ("g", "b", {"x": 2.0}, True), ("g", "a", {"y": 3.0}, False), ("g", "a", {"y": 9.0}, False), ("g", "b", {"y": 4.0}, False), ("g", "c", {"y": 99.0, "x": 9.0, "z": 1.0}, False)]
+    df = spark.createDataFrame(data, "grp string, item string, scores map<string,double>, own boolean")
+    for array_rows in (256, 0):
+        monkeypatch.setattr(rank, "ARRAY_ROWS", array_rows)
+        got = {r.item: (r.mean_rank, r.n_scores) for r in rank.aggregate_ranks(df, "grp", "item", "scores", "own").collect()}
+        assert got == {"a": (0.75, 2), "b": (0.75, 2)}
+
+
+def test_chance_is_no_significance(spark):
+    """rho of `peak` is smaller but no better than chance; `even` has the better mean rank."""
+    data = [("g", "peak", 0.5, 0.60, math.log(0.5)), ("g", "even", 0.6, 0.40, math.log(0.6)), ("h", "clear", 0.01, 0.60, math.log(0.01)), ("h", "even", 0.2, 0.40, math.log(0.2))]
+    df = spark.createDataFrame(data, "grp string, item string, rho double, mean_rank double, log_rho double")
+    assert rows(rank.first_ranked(df, "grp", "item")) == [("g", "even"), ("h", "clear")]
+
+
 # --- 4: runs
 def test_runs_against_brute_force(spark):
     rng = random.Random(9)
@@ -82,7 +99,8 @@ def test_runs_against_brute_force(spark):
 
 def test_message_keys(spark):
     same = [("Lease on /srv/a/1.db granted", "LEASE  on /srv/zz/9.tmp\u00a0granted"), ("worker slate-lynx left state 5", "worker ochre-owl left state 77")]
-    different = [("Lease on /srv/a granted", "Lease on /srv/a revoked"), ("Backend a-b reports ready", "Backend a-b reports not ready")]
+    different = [(f"Mounted {a} volume", f"Mounted {b} volume") for a, b in (("read-only", "write-only"), ("fail-over", "roll-back"), ("fast-path", "slow-path"), ("in-memory", "on-disk"))]
+    different += [("Lease on /srv/a granted", "Lease on /srv/a revoked"), ("Backend a-b reports ready", "Backend a-b reports not ready")]
     df = spark.createDataFrame([(*p, True) for p in same] + [(*p, False) for p in different] + [(None, "", True)], "a string, b string, same boolean")
     got = df.withColumn("equal", runs.message_key(F.col("a")) == runs.message_key(F.col("b"))).collect()
     assert [r["equal"] for r in got] == [r["same"] for r in got]
