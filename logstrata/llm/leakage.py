@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ PIECES = ((12, 1), (16, 2))
 EXACT_RUN = 5
 ITEM_BLOCK_CHARS = 4_000_000
 SLICE = 1 << 20
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -125,17 +126,43 @@ class ItemIndex:
 
 
 def regions(at: np.ndarray, owner: np.ndarray, place: np.ndarray, bounds: np.ndarray, text_of: np.ndarray) -> np.ndarray:
-    """Numbers of the hits that lie in a band reaching its item's bound."""
-    kept = np.zeros(len(at), dtype=bool)
-    diagonal = at - place
+    """Numbers of the hits that lie in a band reaching its item's bound.
+
+    A text and an item that share fewer q-grams in all than the bound have no such band.
+    """
+    pair = text_of * len(bounds) + owner
+    alive = np.flatnonzero(np.bincount(pair)[pair] >= bounds[owner])
+    if not len(alive):
+        return alive
+    pair, diagonal, least = pair[alive], at[alive] - place[alive], bounds[owner[alive]]
+    diagonal -= diagonal.min()
+    width = int(diagonal.max()) // BAND + 2
+    kept = np.zeros(len(alive), dtype=bool)
     for shift in (0, BAND // 2):
-        band = (diagonal + shift) // BAND
-        order = np.lexsort((band, owner, text_of))
-        o, b, t = owner[order], band[order], text_of[order]
-        new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])]))
-        sizes = np.diff(np.concatenate([new, [len(o)]]))
-        kept[order[np.repeat(sizes >= bounds[o[new]], sizes)]] = True
-    return np.flatnonzero(kept)
+        order, new = _groups(pair * width + (diagonal + shift) // BAND)
+        sizes = np.diff(np.append(new, len(order)))
+        kept[order[np.repeat(sizes >= least[order[new]], sizes)]] = True
+    return alive[kept]
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by key, and where in it each key begins."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+
+
+def unbroken(at: np.ndarray, owner: np.ndarray, place: np.ndarray, bounds: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Numbers of the hits, in order of text position, that lie in as many hits in a row on one diagonal as `EXACT_RUN` unchanged words leave."""
+    diagonal = at - place
+    diagonal = diagonal - diagonal.min()
+    order, new = _groups((text_of * len(bounds) + owner) * (int(diagonal.max()) + 1) + diagonal)
+    first = np.zeros(len(order), dtype=bool)
+    first[new] = True
+    first[1:] |= np.diff(at[order]) != 1
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(order)))
+    return np.sort(order[np.repeat(sizes >= bounds[owner[order[starts]]], sizes)])
 
 
 def aligned(doc: list[str], item: list[str], diagonal: int) -> bool:
@@ -189,11 +216,12 @@ def leaks_of(texts: list[str | None], index: ItemIndex) -> list[tuple[int, int]]
     at, owner, place = index.hits(_codes("\x00".join(joined)))
     if not len(at):
         return []
-    text_of = np.searchsorted(base, at, side="right") - 1
-    kept = regions(at, owner, place, np.array(index.bounds), text_of)
-    if not len(kept):
-        return []
-    at, owner, place, text_of = at[kept], owner[kept], place[kept], text_of[kept]
+    text_of, bounds = np.searchsorted(base, at, side="right") - 1, np.array(index.bounds)
+    for kept_by in (regions, unbroken):
+        kept = kept_by(at, owner, place, bounds, text_of)
+        if not len(kept):
+            return []
+        at, owner, place, text_of = at[kept], owner[kept], place[kept], text_of[kept]
     # word numbers of the hits; word starts of all texts and of all items are one sorted array each
     word_at = np.concatenate([[0], np.cumsum([len(x) + 1 for w in split for x in (w or [""])])[:-1]])
     word_of_text = np.concatenate([[0], np.cumsum([max(len(w), 1) for w in split])[:-1]])
@@ -223,16 +251,27 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield block
 
 
+_last_index: dict[str, ItemIndex] = {}
+
+
+def _index_of(name: str, block) -> ItemIndex:
+    """The index of a block of items, built once per worker process."""
+    if name not in _last_index:
+        _last_index.clear()
+        _last_index[name] = ItemIndex(block.value)
+    return _last_index[name]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", batch: int = 500) -> DataFrame:
     """(doc_id, item_id) of every document that holds a piece of an item."""
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     out = None
     for block in item_blocks(items, item_id, text):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shared.value)
+        def scan(frames: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            index = _index_of(name, shared)
             for frame in frames:
                 for s in range(0, len(frame), batch):
                     part = frame.iloc[s : s + batch]

@@ -161,6 +161,10 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(ddf.limit(0), idf).count() == 0 and leakage.find_leaks(ddf, idf.limit(0)).count() == 0
 
 
+def test_markup_of_any_length_does_not_count():
+    assert leakage.words("one <a title='" + "x y " * 500 + "'>two</a> &lt;three") == ["one", "two", "three"]
+
+
 def test_items_in_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEM_BLOCK_CHARS", 100)
     monkeypatch.setattr(leakage, "SLICE", 64)
