@@ -265,6 +265,29 @@ CASES = [
 ]
 
 
+def found(text, names=()):
+    given, family = {pii.fold(n.split()[0]) for n in names}, {pii.fold(n.split()[-1]) for n in names}
+    return {(kind, text[s:e]) for s, e, kind in pii.decode(pii.candidates(text, given, family), pii.fitted())}
+
+
+def test_mentions_beyond_usual_sizes():
+    long_street = "12 " + " ".join(["Quillmarsh"] * 9) + " Street"
+    assert ("address", long_street) in found(f"Send the box to {long_street}, Newtown.") and len(long_street) > 93
+    assert ("phone", "555 0142") in found("Reach the shift, phone 555 0142.")
+    assert found("Please call Anna Smith at 555-0142.", ["Anna Smith"]) == {("name", "Anna Smith"), ("phone", "555-0142")}
+    assert ("name", "Nguyễn Văn An") in found("Reported by Nguyễn Văn An, thanks.", ["An Nguyễn"])
+    assert ("name", "Tomoko Yamamoto-Hernandez Garcia") in found("Please ask Tomoko Yamamoto-Hernandez Garcia (ops) first.", ["Tomoko Garcia"])
+
+
+def test_full_stops_cues_and_clocks():
+    assert found("Send the disk to 42 Northfold Blvd. | next") == {("address", "42 Northfold Blvd")}
+    assert found("Send the disk to 42 Northfold Blvd., Fenwold") == {("address", "42 Northfold Blvd.")}
+    assert found("Das Gerät geht an Rabensteiner Straße 211a, 00411 Altdorf. Das andere geht an Lindenweg 3.") == {("address", "Rabensteiner Straße 211a"), ("address", "Lindenweg 3")}
+    assert found("went to 3 Osprey Lane, Port Ellery, phone 01632 960589.") == {("address", "3 Osprey Lane"), ("phone", "01632 960589")}
+    assert found("Decorate the call with it and watch counter 916.963.2561.") == set()
+    assert found("251025 083833 897 WARN ssl: handshake") == set()
+
+
 def test_mentions_and_placeholders(spark):
     docs = spark.createDataFrame([(k, t, "n") for k, (t, _) in enumerate(CASES)] + [(None, "ask Ysolde Vostrikel", "n")], "doc_id long, text string, pii_type string")
     names = spark.createDataFrame([("Ysolde", "Vostrikel"), ("Zephrine", "Morvane"), (None, None)], "given_name string, family_name string")
