@@ -5,8 +5,9 @@ source its target tokens and stay within its most repeats, those closest to one
 relative entropy) are `min(cap, exp(lambda_source * tokens))`; the lambdas solve a convex
 dual, found by Newton steps kept inside a bracket. Each step is one distributed aggregation
 over counts of documents per (source, tokens). Rates are then rounded into whole copies by a
-hash of the document, and a shift of the rounding threshold, found the same way, brings each
-source within about one document of its target.
+hash of the document; a shift of the rounding threshold, found the same way, brings each
+source within about one document of its target, and one copy more or less of a few out of
+`SPARE` documents a source takes away what is left.
 
 The total is the largest at which every target can be met within the most repeats.
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logstrata.functions.ids import ident
+from logstrata.operators.ingest import top_per_group
 from logstrata.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,17 +37,22 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_TARGETS = 10_000
 GRID = 33
+#: Documents a source of which single copies may be added or dropped to meet its target.
+SPARE = 64
 
 
 def count_tokens(documents: DataFrame, doc_id: str, text: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """`doc_id`, `keep` and n_tokens by a public byte-level BPE vocabulary."""
 
+    # the file is read here once: executors need not have it
+    shared = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
         cache = tiktoken.__dict__.setdefault("_encodings_by_path", {})
         if vocabulary not in cache:
-            lines = map(bytes.split, Path(vocabulary).read_bytes().splitlines())
+            lines = map(bytes.split, shared.value.splitlines())
             ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
             cache[vocabulary] = tiktoken.Encoding("by_path", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         encoding = cache[vocabulary]
@@ -125,7 +132,7 @@ def plan(documents: DataFrame, targets_table: DataFrame, doc_id: str = "doc_id",
     sized = count_tokens(picked.join(named, "source", "left_semi"), "doc_id", "text", ["source"], vocabulary)
     sized = materialize(sized, "sized")
     histogram = materialize(sized.filter("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "token_counts")
-    totals = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).limit(MAX_TARGETS).collect()
+    totals = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).limit(MAX_TARGETS + 1).collect()
     targets = Targets(targets_table, {r.source: r.t for r in totals})
     unit = {r.source: r.t / r.n for r in totals}
     lam = balance(histogram, targets, unit)
@@ -142,8 +149,43 @@ def plan(documents: DataFrame, targets_table: DataFrame, doc_id: str = "doc_id",
         value = F.greatest(F.lit(0.0), F.least(F.floor("rate") + extra.cast("int") - (F.col("chance") >= 1 + shift).cast("int"), caps))
         return F.when((F.col("n_tokens") == 0) | caps.isNull(), 0).otherwise(value.cast("int"))
 
-    shift = rounding_shift(rated, copies, {s: a for s, a in targets.tokens.items() if s not in targets.full})
-    return rated.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), copies(F.coalesce(_lookup(F.col("source"), shift), F.lit(0.0))).alias("copies"))
+    wanted = {s: a for s, a in targets.tokens.items() if s not in targets.full}
+    shift = rounding_shift(rated, copies, wanted)
+    rounded = rated.withColumn("copies", copies(F.coalesce(_lookup(F.col("source"), shift), F.lit(0.0))))
+    changes = single_copies(rounded, wanted, targets.cap)
+    changed = documents.sparkSession.createDataFrame(changes, f"doc_id {rounded.schema['doc_id'].dataType.simpleString()}, change int")
+    final = rounded.join(F.broadcast(changed), "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    return final.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), F.col("copies").cast("int").alias("copies"))
+
+
+def single_copies(rounded: DataFrame, wanted: dict[str, float], cap: dict[str, int]) -> list[tuple]:
+    """(doc_id, 1 or -1) of the few documents whose changed copies bring each source to its wanted tokens.
+
+    Of every source `SPARE` documents, chosen by hash, are looked at; each step makes the one
+    change, or the one addition with one removal, that leaves the least difference.
+    """
+    if not wanted:
+        return []
+    open_ = rounded.filter(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
+    used = {r.source: r.used for r in open_.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("used")).collect()}
+    spare: dict[str, list] = {}
+    for r in top_per_group(open_, ["source"], [F.col("chance"), F.col("doc_id")], SPARE).select("source", "doc_id", "n_tokens", "copies").collect():
+        spare.setdefault(r.source, []).append(r)
+    changes = []
+    for source, rows in spare.items():
+        gap, done = wanted[source] - used[source], set()
+        for _ in range(len(rows)):
+            more = [(r.n_tokens, r.doc_id) for r in rows if r.doc_id not in done and r.copies < cap[source]]
+            less = [(-r.n_tokens, r.doc_id) for r in rows if r.doc_id not in done and r.copies > 0]
+            steps = [(abs(gap - t), t, ((d, 1 if t > 0 else -1),)) for t, d in more + less]
+            steps += [(abs(gap - t - u), t + u, ((d, 1), (e, -1))) for t, d in more for u, e in less if d != e]
+            best = min(steps, default=None, key=lambda x: x[0])
+            if best is None or best[0] >= abs(gap):
+                break
+            gap -= best[1]
+            changes += best[2]
+            done |= {d for d, _ in best[2]}
+    return changes
 
 
 def rounding_shift(rated: DataFrame, copies, wanted: dict[str, float], passes: int = 4) -> dict[str, float]:

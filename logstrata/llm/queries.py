@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logstrata.llm import leakage, mixing, pii, rank, runs
 from logstrata.operators import template_tree, timeline
-from logstrata.session import spread, table
+from logstrata.session import materialize, spread, table
 
 
 def _p1_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +96,15 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(p9_plan(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of every target: whether its tokens are met within the smallest document that is used, and its repeats kept."""
+    planned = materialize(p9_plan(spark, d), "plan")
+    shares = mixing.report(planned, table(spark, d, "mix_targets")).withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))
+    smallest = planned.filter("n_tokens > 0").groupBy("source").agg(F.min("n_tokens").alias("smallest"))
+    missed = F.abs(F.col("tokens") - F.col("target_share") * F.col("all_tokens"))
+    return shares.join(smallest, "source").select("source", (missed <= F.col("smallest") + 1).alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find_mentions(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "staff_directory"))
     return found.select("doc_id", "pii_type", "pii_text").distinct()
@@ -104,5 +114,9 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "staff_directory"))
 
 
-QUERIES = {"p9_plan": p9_plan, "p9_mix": p9_mix, "p10_found": p10_found, "p10_redacted": p10_redacted, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
-ORACLE = {"p1_found": P1_SQL, "p1_ranking": P1_RANKING_SQL}
+QUERIES = {"p9_plan": p9_plan, "p9_mix": p9_mix, "p9_invariants": p9_invariants, "p10_found": p10_found, "p10_redacted": p10_redacted, "p8_found": p8_found, "p8_report": p8_report, "p1_found": p1_found, "p1_ranking": p1_ranking, "p4_found": p4_found, "p4_runs": p4_runs}
+ORACLE = {
+    "p1_found": P1_SQL,
+    "p1_ranking": P1_RANKING_SQL,
+    "p9_invariants": "SELECT DISTINCT lower(trim(source)) AS source, true AS share_met, true AS repeats_kept FROM mix_targets",
+}
