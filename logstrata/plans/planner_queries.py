@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from logstrata.operators import chunks, planner
 from logstrata.session import table
 
-QUESTIONS = ["show the latest ERROR logs of hdfs", "newest WARN logs of openstack at 10.1.2.3", "latest critical logs of apache"]
+QUESTIONS = [
+    "show the latest ERROR logs of hdfs", "newest WARN logs of openstack at 10.1.2.3", "latest critical logs of apache", "why does Hdfs report blk_-4517 and req-1a2b3c4d?", "tóm tắt lỗi OpenStack gần đây",
+    "http status 503 from apache", "show me 503 recent logs", "máy ảo 550e8400-e29b-41d4-a716-446655440000 bị lỗi", "tìm log của 550e8400-e29b-41d4-a716-446655440000", "connection to 999.1.1.1 and 10.0.0.5 reset, INFO",
+    "who reads /srv/data/part-7.img on openstack?", "latest logs", "newest notice about leases", "",
+]
 LINES = ["L01", "L02", "L03"]
 
 
@@ -17,28 +21,55 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("log_id", "seq", "dataset", "level", "component", "message", F.coalesce("template_id", F.lit("")).alias("template"), F.unix_millis("ingested_at").alias("ts_ms"))
 
 
-def planned_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of three planned questions; an address no row has widens the second."""
-    out = None
-    for k, question in enumerate(QUESTIONS):
-        rows = planner.execute(planner.plan_question(question), _logs(spark, d).withColumn("log_id", F.format_string("%012d", "seq")))
-        rows = rows.select(F.lit(k).alias("question"), "seq", "tier")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def _plans(spark: SparkSession, first: int | None = None) -> DataFrame:
+    return planner.plan_questions(spark.createDataFrame(list(enumerate(QUESTIONS[:first])), "question_id int, question string"))
+
 
+def question_plans(spark: SparkSession, d: str) -> DataFrame:
+    """The plans of questions in two languages."""
+    return _plans(spark).drop("question")
 
-_R = "SELECT {k} AS question, seq, {tier} AS tier FROM (SELECT * FROM log_records WHERE dataset = '{ds}' AND level = '{lv}' ORDER BY epoch_us(ingested_at) // 1000 DESC, seq LIMIT 24)"
-_RETRIEVAL = " UNION ALL ".join(_R.format(k=k, tier=t, ds=ds, lv=lv) for k, (ds, lv, t) in enumerate([("hdfs", "ERROR", 1), ("openstack", "WARN", 2), ("apache", "CRITICAL", 1)]))
+
+def planned_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all planned questions; an address no row has widens the second."""
+    rows = planner.execute(_plans(spark), _logs(spark, d).withColumn("log_id", F.format_string("%012d", "seq")))
+    return rows.select("question_id", "seq", "tier")
+
+
+# the plan is read from the questions here as well, by other means: accents by DuckDB, identifiers by patterns over the whole text
+_Q = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS)) + ") v(question_id, question)"
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+_PLANS = f"""
+WITH q AS (SELECT question_id, trim(question) AS question, replace(strip_accents(lower(trim(question))), 'đ', 'd') AS p FROM {_Q}),
+e AS (SELECT *, nullif(regexp_extract(p, '\\breq-[0-9a-f-]{{8,}}'), '') AS request_id, nullif(regexp_extract(p, '\\bblk_-?[0-9]+'), '') AS block_id,
+  nullif(regexp_extract(p, '(?:instance|vm|server|may ao|may chu) ({_UUID})', 1), '') AS instance_id,
+  list_filter(regexp_extract_all(p, '[0-9]+(?:[.][0-9]+){{3}}'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::int)) < 256)[1] AS ip,
+  try_cast(nullif(regexp_extract(p, '(?:status|http|code|ma loi)[ :=]+([1-5][0-9][0-9])\\b', 1), '') AS int) AS http_status,
+  nullif(regexp_extract(question, '(?:^|[^\\w/])(/[\\w./-]*\\w)', 1), '') AS path,
+  CASE WHEN regexp_matches(p, 'apache') THEN 'apache' WHEN regexp_matches(p, 'openstack') THEN 'openstack' WHEN regexp_matches(p, 'hdfs') THEN 'hdfs' END AS dataset,
+  CASE WHEN regexp_matches(p, '\\bcritical\\b') THEN 'CRITICAL' WHEN regexp_matches(p, '\\berror\\b') THEN 'ERROR' WHEN regexp_matches(p, '\\bwarn(ing)?\\b') THEN 'WARN' WHEN regexp_matches(p, '\\binfo\\b') THEN 'INFO'
+    WHEN regexp_matches(p, '\\bnotice\\b') THEN 'NOTICE' WHEN regexp_matches(p, '\\bdebug\\b') THEN 'DEBUG' END AS level,
+  regexp_matches(p, 'latest|recent|newest|gan day|moi nhat|last logs') AS newest_first,
+  CASE WHEN regexp_matches(p, 'summar|overview|recap|tong hop|tom tat') THEN 'summary' WHEN regexp_matches(p, 'root cause|rca|why|debug|diagnos|vi sao|tai sao|nguyen nhan|giai thich') THEN 'root_cause'
+    WHEN regexp_matches(p, 'find|search|show|list|trace|tim|liet ke|truy van') THEN 'search_log' ELSE 'general' END AS answer_mode FROM q),
+plans AS (SELECT *, NOT newest_first OR coalesce(request_id, block_id, instance_id, ip, http_status::varchar, path) IS NOT NULL
+  OR len(list_filter(regexp_extract_all(p, '[a-z_][a-z0-9_.$-]{{2,}}'), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in planner.NO_SUBJECT)}], w))) > 0 AS by_meaning FROM e)
+"""
+_QUESTION_PLANS = _PLANS + "SELECT question_id, answer_mode, dataset, level, NULL::varchar AS component, request_id, block_id, instance_id, ip, http_status, path, newest_first, by_meaning FROM plans"
+_RETRIEVAL = _PLANS + """, hits AS (SELECT question_id, seq, epoch_us(ingested_at) // 1000 AS ts,
+    CASE WHEN coalesce(block_id, instance_id, ip, http_status::varchar, path, plans.request_id) IS NULL THEN 1 ELSE 2 END AS tier
+  FROM plans JOIN log_records l ON (plans.dataset IS NULL OR l.dataset = plans.dataset) AND (plans.level IS NULL OR l.level = plans.level))
+SELECT question_id, seq, tier FROM hits QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY ts DESC, seq) <= 24"""
 
 
 def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
-    rows = planner.execute(planner.plan_question(QUESTIONS[0]), _logs(spark, d).withColumn("log_id", F.format_string("%012d", "seq")))
-    return planner.context(rows).select("line_id", "template_ref", F.col("log_id").cast("bigint").alias("seq"), "message")
+    rows = planner.execute(_plans(spark, 3), _logs(spark, d).withColumn("log_id", F.format_string("%012d", "seq")))
+    return planner.context(rows).select("question_id", "line_id", "template_ref", F.col("log_id").cast("bigint").alias("seq"), "message")
 
 
-_CONTEXT = """WITH r AS (SELECT seq, message, nullif(trim(template_id), '') AS t, (epoch_us(ingested_at) // 1000) AS ts FROM log_records WHERE dataset = 'hdfs' AND level = 'ERROR' ORDER BY ts DESC, seq LIMIT 24),
-n AS (SELECT *, row_number() OVER (ORDER BY ts, seq) AS n FROM r), f AS (SELECT t, row_number() OVER (ORDER BY min(n)) AS k FROM n WHERE t IS NOT NULL GROUP BY t)
-SELECT 'L' || lpad(n::varchar, 2, '0') AS line_id, CASE WHEN k IS NOT NULL THEN 'T' || lpad(k::varchar, 2, '0') END AS template_ref, seq, message FROM n LEFT JOIN f USING (t)"""
+_CONTEXT = f"""WITH h AS ({_RETRIEVAL}), r AS (SELECT h.question_id, l.seq, l.message, nullif(trim(l.template_id), '') AS t, (epoch_us(l.ingested_at) // 1000) AS ts FROM h JOIN log_records l USING (seq) WHERE h.question_id < 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ts, seq) AS n FROM r), f AS (SELECT question_id, t, row_number() OVER (PARTITION BY question_id ORDER BY min(n)) AS k FROM n WHERE t IS NOT NULL GROUP BY question_id, t)
+SELECT question_id, 'L' || lpad(n::varchar, 2, '0') AS line_id, CASE WHEN k IS NOT NULL THEN 'T' || lpad(k::varchar, 2, '0') END AS template_ref, seq, message FROM n LEFT JOIN f USING (question_id, t)"""
 
 
 def pending_templates(spark: SparkSession, d: str) -> DataFrame:
@@ -61,19 +92,27 @@ list_distinct(regexp_extract_all(lower(dataset || ' ' || template), '[a-zA-Z0-9_
 
 
 def answer_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Incident summaries, taken as answers without and with citations."""
-    answers = table(spark, d, "incidents").groupBy("incident_id").agg(F.min("root_cause_summary").alias("s"))
-    cite = F.when(F.contains("s", F.lit("gecko")), F.concat(F.lit("root cause: "), "s", F.lit(" [L01][L77]"))).otherwise(F.concat(F.lit("root cause: "), "s"))
-    return planner.check_answer(answers.select(F.col("incident_id").alias("answer_id"), cite.alias("answer")), LINES).select("answer_id", F.array_join("problems", ";").alias("problems"))
+    """Ticket texts of the documents, taken as answers with a citation that depends on their length."""
+    cite = F.element_at(F.array(*[F.lit(x) for x in (" [L01]", " [L02][L77]", "", " [L03] [T01]", " [L9]")]), (F.length("text") % 5 + 1).cast("int"))
+    answers = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.concat("text", cite).alias("answer"))
+    return planner.check_answer(answers, LINES).select("answer_id", F.array_join("problems", ";").alias("problems"))
+
 
+_ANSWERS = """WITH a AS (SELECT doc_id AS answer_id, text || [' [L01]', ' [L02][L77]', '', ' [L03] [T01]', ' [L9]'][(length(text) % 5 + 1)::int] AS answer FROM documents),
+c AS (SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(answer, '\\[(L[0-9]+)\\]', 1)), lambda x: x NOT IN ('L01', 'L02', 'L03'))) AS bad, regexp_matches(answer, '\\[L[0-9]+\\]') AS cited,
+  replace(strip_accents(lower(answer)), 'đ', 'd') AS p FROM a)
+SELECT answer_id, concat_ws(';', CASE WHEN len(bad) > 0 THEN 'invalid line citations: ' || array_to_string(bad, ',') END, CASE WHEN regexp_matches(answer, '\\[T[0-9]+\\]') THEN 'template cited as evidence' END,
+  CASE WHEN NOT cited AND regexp_matches(p, 'nguyen nhan|kha nang|ket luan|cho thay|do |vi |loi|bat thuong|root cause|cause|likely') AND NOT regexp_matches(p, 'chua du bang chung|khong du bang chung|khong tim thay|insufficient evidence|not enough evidence')
+    THEN 'conclusion without citation' END) AS problems FROM c"""
 
-QUERIES = {"planned_retrieval": planned_retrieval, "retrieval_context": retrieval_context, "pending_templates": pending_templates, "pending_search": pending_search, "answer_checks": answer_checks}
+QUERIES = {"question_plans": question_plans, "planned_retrieval": planned_retrieval, "retrieval_context": retrieval_context, "pending_templates": pending_templates, "pending_search": pending_search, "answer_checks": answer_checks}
 ORACLE = {
+    "question_plans": _QUESTION_PLANS,
     "planned_retrieval": _RETRIEVAL,
     "retrieval_context": _CONTEXT,
     "pending_templates": _PENDING,
     "pending_search": _PENDING_SEARCH,
-    "answer_checks": "SELECT incident_id AS answer_id, CASE WHEN s LIKE '%gecko%' THEN 'invalid line citations: L77' ELSE 'conclusion without citation' END AS problems FROM (SELECT incident_id, min(root_cause_summary) AS s FROM incidents GROUP BY ALL)",
+    "answer_checks": _ANSWERS,
 }
 
 
