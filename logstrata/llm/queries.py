@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from logstrata.llm import leakage, mixing, pii, rank, runs
 from logstrata.operators import template_tree, timeline
+from logstrata.plans import line_sql
 from logstrata.session import materialize, spread, table
 
 
@@ -77,6 +78,22 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.collapse_runs(_p4_events(spark, d).join(times, "seq", "left"))
 
 
+_PARTS = "|".join(sorted(set(runs.PARTS)))
+_RUNS = rf"""
+WITH b AS (SELECT seq, source_file, line_number, message, trim(regexp_replace(regexp_extract(coalesce(raw_log, ''), '^[^\r\n]*'), '\x1b\[[0-9;]*m', '', 'g'), ' ') AS text FROM log_records WHERE source_file IS NOT NULL AND line_number IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY source_file, line_number ORDER BY seq) = 1),
+w AS (SELECT *, coalesce(starts_with(lower(regexp_replace(message, '\x1b\[[0-9;]*m|\s+', '', 'g')), lower(regexp_replace(text, '\x1b\[[0-9;]*m|\s+', '', 'g'))), false) AS whole FROM b),
+m AS (SELECT seq, source_file, line_number, message FROM w WHERE NOT whole UNION ALL SELECT seq, source_file, line_number, message FROM ({line_sql.fields('SELECT seq, source_file, line_number, text FROM w WHERE whole')})),
+k AS (SELECT *, regexp_replace(regexp_replace(translate(lower(coalesce(message, '')), chr(160) || chr(8199) || chr(8239) || chr(12288), '    '), '\b({_PARTS})-([a-z]+)\b', '\1_\2', 'g'), '\b([a-z]+)-({_PARTS})\b', '\1_\2', 'g') AS said FROM m),
+e AS (SELECT *, trim(regexp_replace(regexp_replace(said, '\S*[\d/]\S*|\b[a-z]+-[a-z]+\b', '#', 'g'), '\s+', ' ', 'g')) AS key FROM k),
+t AS (SELECT e.*, i.ts_ms FROM e LEFT JOIN ({line_sql.instants("SELECT 'log_records' AS tbl, seq, timestamp, host FROM log_records")}) i USING (seq)),
+n AS (SELECT *, coalesce((key <> lag(key) OVER (PARTITION BY source_file ORDER BY line_number))::int, 1) AS starts FROM t),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY source_file ORDER BY line_number) AS run FROM n)
+SELECT source_file, min(line_number) AS first_line, max(line_number) AS last_line, count(*)::int AS n_events, arg_max(coalesce(ts_ms, -1), line_number) AS t1, arg_min(coalesce(ts_ms, -1), line_number) AS t0 FROM g GROUP BY source_file, run"""
+P4_SQL = f"SELECT source_file, first_line, last_line, n_events FROM ({_RUNS}) WHERE n_events > 1"
+P4_RUNS_SQL = f"SELECT source_file, first_line, last_line, n_events, CASE WHEN t0 >= 0 AND t1 >= 0 THEN t1 - t0 END AS duration_ms FROM ({_RUNS})"
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
@@ -118,5 +135,7 @@ QUERIES = {"p9_plan": p9_plan, "p9_mix": p9_mix, "p9_invariants": p9_invariants,
 ORACLE = {
     "p1_found": P1_SQL,
     "p1_ranking": P1_RANKING_SQL,
+    "p4_found": P4_SQL,
+    "p4_runs": P4_RUNS_SQL,
     "p9_invariants": "SELECT DISTINCT lower(trim(source)) AS source, true AS share_met, true AS repeats_kept FROM mix_targets",
 }
