@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logstrata.operators.blocks import carry
+from logstrata.operators.blocks import carry, exact_percentile
 
+# Level groups, weights and thresholds of the scores.
 ERROR_LEVELS = ["ERROR", "CRITICAL", "FATAL", "ALERT", "EMERG"]
 WARN_LEVELS = ["WARN", "WARNING"]
 NORMAL_LEVELS = ["INFO", "NOTICE", "DEBUG"]
-BLOCK_MS = 6 * 3600 * 1000
+BLOCK_MS = 3600 * 1000
+#: Rows of one block among those without time.
+BLOCK_LINES = 4096
 
 
 @dataclass(frozen=True)
@@ -73,17 +76,23 @@ def scoring_view(df: DataFrame, ts_ms: Column) -> DataFrame:
 ORDER = ["ts_ms", "line_number", "log_id"]
 
 
+def _block() -> Column:
+    """Blocks in order of time; rows without time, which all come first, are cut by their lines."""
+    timeless = F.when(F.col("ts_ms") == 0, F.least(F.floor(F.col("line_number") / BLOCK_LINES), F.lit((1 << 20) - 1))).otherwise(0)
+    return F.floor(F.col("ts_ms") / BLOCK_MS) * (1 << 20) + timeless
+
+
 def with_previous(view: DataFrame) -> DataFrame:
     """Adds prev, the template before in the same stream."""
     item = F.struct(*ORDER, "template")
-    blocked = carry(view.withColumn("block", F.floor(F.col("ts_ms") / BLOCK_MS)), ["stream"], "block", {"last": F.max(item)}, {"before": ("last", "last")})
+    blocked = carry(view.withColumn("block", _block()), ["stream"], "block", {"last": F.max(item)}, {"before": ("last", "last")})
     inside = Window.partitionBy("stream", "block").orderBy(*ORDER)
     return blocked.withColumn("prev", F.coalesce(F.lag("template").over(inside), "before.template")).drop("block", "before")
 
 
 def with_position(view: DataFrame) -> DataFrame:
     """Adds pos, the event's number in its service from 0, and n, the service's size."""
-    blocked = carry(view.withColumn("block", F.floor(F.col("ts_ms") / BLOCK_MS)), ["service"], "block", {"n": F.count("*")}, {"n_before": ("sum", "n"), "n": ("total", "n")})
+    blocked = carry(view.withColumn("block", _block()), ["service"], "block", {"n": F.count("*")}, {"n_before": ("sum", "n"), "n": ("total", "n")})
     inside = Window.partitionBy("service", "block").orderBy(*ORDER)
     return blocked.withColumn("pos", F.col("n_before") + F.row_number().over(inside) - 1).drop("block", "n_before")
 
@@ -102,7 +111,8 @@ def surprise_p99(counts: DataFrame, group: list[str], vocabulary: DataFrame, con
     totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
     joined = counts.join(totals, group).join(vocabulary, "service")
     p = (F.col("n") + config.alpha) / (F.col("total") + config.alpha * F.col("v"))
-    return joined.groupBy("service").agg(F.round(F.percentile(-F.ln(p), 0.99), 6).alias("p99"))
+    p99 = exact_percentile(joined.select("service", (-F.ln(p)).alias("surprise")), ["service"], "surprise", 0.99, "p99")
+    return p99.withColumn("p99", F.round("p99", 6))
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -131,7 +141,7 @@ def window_profile(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = vectors.join(means, ["service", "template"]).groupBy("service", "w").agg(F.sum(F.abs(F.col("ratio") - F.col("mean")) - F.col("mean")).alias("d"))
     far = near.join(windows, ["service", "w"]).join(base, "service").join(sums, "service")
     distance = F.col("d") + F.col("mean_sum") + sum(F.abs(F.col(c) - F.col(f"{c}_mean")) for c in ("error_ratio", "warn_ratio", "unique_ratio"))
-    p99 = far.groupBy("service").agg(F.percentile(distance, 0.99).alias("p99_distance"))
+    p99 = exact_percentile(far.select("service", distance.alias("distance")), ["service"], "distance", 0.99, "p99_distance")
     return means, base.join(p99, "service").join(sums, "service")
 
 
@@ -171,14 +181,16 @@ def score_transitions(view: DataFrame, transitions: DataFrame, config: AnomalyCo
     fallback = F.col("scope") == "service"
     score = F.when(F.col("prev").isNull(), 0.0).when(F.col("prev_total").isNull(), 1.0).otherwise(_relative(p, p_max, config))
     fall = F.when(fallback, "service_level_transition_fallback")
-    known = F.array_compact(F.array(F.when(seen == 0, "new_template_transition").when(score >= 0.8, "rare_template_transition"), fall))
+    # an apache line that no request, trace or session ties to the one before
+    loose = F.coalesce(F.lower("dataset") == "apache", F.lit(False)) & ~F.col("scope").isin("trace", "request", "session")
+    known = F.array_compact(F.array(F.when(seen == 0, "new_template_transition").when(score >= 0.8, "rare_template_transition"), F.coalesce(fall, F.when(loose, "low_confidence_sequence_fallback"))))
     unknown = F.array(F.lit("new_previous_template_for_transition"), F.lit("new_template_transition"))
     reasons = F.when(F.col("prev").isNull(), F.array_compact(F.array(fall))).when(F.col("prev_total").isNull(), unknown).otherwise(known)
     return joined.withColumns({"transition_score": score, "transition_reasons": reasons})
 
 
 def trailing_windows(view: DataFrame, size: int, block_rows: int = 5000) -> DataFrame:
-    """Adds templates and levels of the last `size` events of the service, the event included.
+    """Adds templates (with their means) and levels of the last `size` events of the service, the event included.
 
     Blocks of positions carry the end of the block before them along, so windows stay in one
     task without any service having to.
@@ -188,17 +200,17 @@ def trailing_windows(view: DataFrame, size: int, block_rows: int = 5000) -> Data
     halo = F.floor((F.col("pos") + size - 1) / block_rows)
     copies = placed.withColumn("own", own).withColumn("block", F.explode(F.when(own == halo, F.array(own)).otherwise(F.array(own, halo))))
     frame = Window.partitionBy("service", "block").orderBy("pos").rowsBetween(-(size - 1), 0)
-    seen = copies.withColumns({"win_templates": F.collect_list("template").over(frame), "win_levels": F.collect_list("level").over(frame)})
+    seen = copies.withColumns({"win_templates": F.collect_list(F.struct("template", "mean")).over(frame), "win_levels": F.collect_list("level").over(frame)})
     return seen.filter(F.col("own") == F.col("block")).drop("own", "block")
 
 
 def score_windows(view: DataFrame, means: DataFrame, profile: DataFrame, config: AnomalyConfig) -> DataFrame:
     """Adds window_score and window_reasons."""
-    lookup = means.groupBy("service").agg(F.map_from_entries(F.collect_list(F.struct("template", "mean"))).alias("template_mean"))
-    joined = trailing_windows(view, config.size).join(profile.join(lookup, "service"), "service", "left")
+    # every event brings its own template's mean along: no task holds the vocabulary of a service
+    joined = trailing_windows(view.join(means, ["service", "template"], "left"), config.size).join(profile, "service", "left")
     n = F.lit(float(config.size))
-    ratio = lambda t: F.size(F.filter("win_templates", lambda x: x == t)) / n
-    gaps = F.transform(F.array_distinct("win_templates"), lambda t: F.coalesce(F.abs(ratio(t) - F.col("template_mean")[t]) - F.col("template_mean")[t], F.lit(0.0)))
+    ratio = lambda t: F.size(F.filter("win_templates", lambda x: x["template"] == t["template"])) / n
+    gaps = F.transform(F.array_distinct("win_templates"), lambda t: F.coalesce(F.abs(ratio(t) - t["mean"]) - t["mean"], F.lit(0.0)))
     share = lambda levels: F.size(F.filter("win_levels", lambda x: x.isin(levels))) / n
     error, warn, unique = share(ERROR_LEVELS), share(WARN_LEVELS), F.size(F.array_distinct("win_templates")) / n
     distance = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) + F.col("mean_sum") + F.abs(error - F.col("error_ratio_mean")) + F.abs(warn - F.col("warn_ratio_mean")) + F.abs(unique - F.col("unique_ratio_mean"))
@@ -212,15 +224,32 @@ def score_windows(view: DataFrame, means: DataFrame, profile: DataFrame, config:
     return joined.withColumns({
         "window_score": F.when(ready & full, score).otherwise(0.0),
         "window_reasons": F.when(~ready, F.array(F.lit("insufficient_window_history"))).when(~full, F.array(F.lit("window_not_full"))).otherwise(reasons),
-    }).drop("win_templates", "win_levels", "template_mean")
+    }).drop("win_templates", "win_levels", "mean")
+
+
+@dataclass(frozen=True)
+class Baseline:
+    """What was learned, as tables in long form."""
+
+    templates: DataFrame
+    transitions: DataFrame
+    means: DataFrame
+    profile: DataFrame
+    config: AnomalyConfig
 
 
-def score(view: DataFrame, training: DataFrame, config: AnomalyConfig) -> DataFrame:
-    """Scores, level, decision and reasons of every event of `view` against a baseline of `training`."""
+def train(training: DataFrame, config: AnomalyConfig) -> Baseline:
     means, profile = window_profile(window_vectors(training, config))
-    scored = score_templates(with_previous(view), template_counts(training), config)
-    scored = score_transitions(scored, transition_counts(training), config)
-    scored = score_windows(scored, means, profile, config)
+    return Baseline(template_counts(training), transition_counts(training), means, profile, config)
+
+
+def score(view: DataFrame, training: DataFrame | Baseline, config: AnomalyConfig | None = None) -> DataFrame:
+    """Scores, level, decision and reasons of every event of `view` against a baseline or what is trained from events."""
+    base = training if isinstance(training, Baseline) else train(training, config or AnomalyConfig())
+    config = base.config
+    scored = score_templates(with_previous(view), base.templates, config)
+    scored = score_transitions(scored, base.transitions, config)
+    scored = score_windows(scored, base.means, base.profile, config)
     fallback = F.col("scope") == "service"
     wt = F.when(fallback, config.fallback_transition_weight).otherwise(config.transition_weight)
     ww = F.when(fallback, config.fallback_window_weight).otherwise(config.window_weight)

@@ -38,3 +38,25 @@ def carry(rows: DataFrame, group: list[str], block: str, summaries: dict[str, Co
     )
     on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*group, block]]
     return rows.join(per_block, on, "left").drop(*[f"__k_{c}" for c in [*group, block]])
+
+
+#: Blocks that a group's values are cut into for an exact percentile.
+CUTS = 64
+
+
+def exact_percentile(rows: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
+    """(group, `name`): the linearly interpolated percentile of a group of any size; null values do not count.
+
+    Equal values are counted first; approximate quantiles cut a group into blocks, counts of
+    blocks are added up, and the two values at the wanted ranks are picked inside their block.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    sizes = counts.groupBy(*group).agg(F.sum("__c").alias("__n"), F.percentile_approx("__v", F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)]), F.lit(1000)).alias("__cuts"))
+    cut = counts.join(sizes, group).withColumn("__block", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
+    cut = carry(cut, group, "__block", {"c": F.sum("__c")}, {"__before": ("sum", "c")})
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*group, "__block").orderBy("__v"))
+    rank = q * (F.col("__n") - 1)
+    placed = cut.withColumn("__last", upto - 1).withColumn("__first", F.col("__last") - F.col("__c") + 1)
+    at = lambda r: F.max(F.when(r.between(F.col("__first"), F.col("__last")), F.col("__v")))
+    ends = placed.groupBy(*group).agg(at(F.floor(rank)).alias("__lo"), at(F.ceil(rank)).alias("__hi"), F.max(rank - F.floor(rank)).alias("__part"))
+    return ends.select(*group, (F.col("__lo") + F.col("__part") * (F.col("__hi") - F.col("__lo"))).alias(name))

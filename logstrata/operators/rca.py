@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logstrata.operators.ingest import top_per_group
+from logstrata.operators.ingest import optional, top_per_group
 
+# The lookback, the weights of the scores and the reason codes.
 LOOKBACK_MS = 10 * 60 * 1000
+#: Distinct buckets of incidents up to which their table is broadcast.
+MAX_BROADCAST_BUCKETS = 200_000
 ENTITIES = ("trace_id", "request_id", "session_id", "block_id", "instance_id", "host")
 
 
@@ -17,8 +20,12 @@ def investigation_window(logs: DataFrame, incidents: DataFrame, lookback_ms: int
     An equi-join on the dataset and a bucket of time; every log lies in its own bucket and
     the one after it, which together hold all incidents it can precede.
     """
+    # only buckets with an incident matter: their table is small and thins the logs before anything is shuffled
+    wanted = incidents.select(F.col("dataset").alias("w_dataset"), F.floor(F.col("ts_ms") / lookback_ms).alias("w_bucket")).distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS else wanted
     left = logs.select([F.col(c).alias(f"c_{c}") for c in logs.columns])
     left = left.withColumn("bucket", F.explode(F.array(F.floor(F.col("c_ts_ms") / lookback_ms), F.floor(F.col("c_ts_ms") / lookback_ms) + 1)))
+    left = left.join(wanted, (F.col("c_dataset") == F.col("w_dataset")) & (F.col("bucket") == F.col("w_bucket")), "left_semi")
     right = incidents.select([F.col(c).alias(f"i_{c}") for c in incidents.columns]).withColumn("bucket_i", F.floor(F.col("i_ts_ms") / lookback_ms))
     on = (F.col("c_dataset") == F.col("i_dataset")) & (F.col("bucket") == F.col("bucket_i"))
     inside = F.col("c_ts_ms").between(F.col("i_ts_ms") - lookback_ms, F.col("i_ts_ms")) & (F.col("c_log_id") != F.col("i_log_id"))
@@ -29,13 +36,20 @@ def _same(name: str) -> Column:
     return F.coalesce((F.trim(F.col(f"c_{name}").cast("string")) == F.trim(F.col(f"i_{name}").cast("string"))) & (F.trim(F.col(f"c_{name}").cast("string")) != ""), F.lit(False))
 
 
+def _service(side: str, pairs: DataFrame) -> Column:
+    """The first of service, component and logger that says something, else a name made of the data set."""
+    there = [optional(F.col(f"{side}_{c}")) for c in ("service", "component", "logger") if f"{side}_{c}" in pairs.columns]
+    return F.coalesce(*there, F.concat(F.coalesce(F.col(f"{side}_dataset"), F.lit("unknown")), F.lit("-service")))
+
+
 def score_candidates(pairs: DataFrame, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
     """Component scores, the weighted score and the reasons of every pair; scores above 0 only."""
     entity_names = [e for e in ENTITIES if f"c_{e}" in pairs.columns]
     anomaly = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("c_anomaly_score", F.lit(0.0))))
     temporal = F.greatest(F.lit(0.0), 1 - (F.col("i_ts_ms") - F.col("c_ts_ms")) / lookback_ms)
-    service = F.when(F.col("c_service") == F.col("i_service"), 1.0).otherwise(0.25)
-    template = F.when(_same("template"), 1.0).otherwise(0.0)
+    service = F.when(_service("c", pairs) == _service("i", pairs), 1.0).otherwise(0.25)
+    family = _same("event_family") if "c_event_family" in pairs.columns else F.lit(False)
+    template = F.when(_same("template"), 1.0).when(family, 0.5).otherwise(0.0)
     entity = F.lit(False)
     for e in entity_names:
         entity = entity | _same(e)

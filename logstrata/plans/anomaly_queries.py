@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.ids import ident
 from logstrata.operators import anomaly as an
-from logstrata.session import materialize, table
+from logstrata.operators import baseline
+from logstrata.session import materialize, scratch_path, table
 
 CONFIG = an.AnomalyConfig(min_logs=100, min_windows=3)
 SPLIT_MS = 1751328000000
@@ -84,6 +85,27 @@ def anomaly_normal_only(spark, d):
     return rows.groupBy("service", "level").agg(F.count("*").alias("n"))
 
 
+def baseline_scores(spark, d):
+    """Scores against a baseline that was built, saved and loaded again."""
+    path = scratch_path(spark, "baseline")
+    rows = materialize(events(spark, d), "events")
+    baseline.load_or_build(spark, path, rows.filter(F.col("ts_ms") < SPLIT_MS), CONFIG)
+    columns = ["log_id", "anomaly_score", "anomaly_level", "anomaly_decision", "anomaly_baseline_status"]
+    return baseline.enrich(rows, path).select(*columns)
+
+
+def baseline_missing(spark, d):
+    """What events carry where there is no baseline."""
+    rows = baseline.enrich(events(spark, d), scratch_path(spark, "none"))
+    return rows.select("log_id", "anomaly_score", "anomaly_level", "anomaly_decision", "anomaly_baseline_status", F.array_join("anomaly_reasons", ",").alias("reasons"))
+
+
+def worker_order(spark, d):
+    """Events in the order of the worker: by time, then by identifier; the place of each in its service."""
+    rows = events(spark, d).withColumn("line_number", F.lit(0))
+    return an.with_position(rows).select("log_id", "service", "pos")
+
+
 _E = """
 WITH once AS (SELECT log_id, min(dataset) AS dataset, min(service) AS service, min(component) AS component, min(template_id) AS template_id, min(level) AS level,
     min(timestamp) AS timestamp, min(nullif(nullif(lower(trim(request_id)), ''), '-')) AS request_id, min(host) AS host, min(line_number) AS line_number, min(raw_log) AS raw_log
@@ -155,17 +177,21 @@ CASE WHEN warming THEN 'insufficient_history' ELSE 'ready' END AS baseline_statu
 CASE WHEN tn IS NULL THEN 'new_template_for_service' WHEN ts >= 0.8 THEN 'rare_template_for_service' END,
 CASE WHEN prev IS NOT NULL AND pn IS NULL THEN 'new_previous_template_for_transition' END,
 CASE WHEN prev IS NULL THEN NULL WHEN pn IS NULL OR trn IS NULL THEN 'new_template_transition' WHEN xs >= 0.8 THEN 'rare_template_transition' END,
-CASE WHEN scope = 'service' AND (prev IS NULL OR pn IS NOT NULL) THEN 'service_level_transition_fallback' END,
+CASE WHEN scope = 'service' AND (prev IS NULL OR pn IS NOT NULL) THEN 'service_level_transition_fallback' WHEN scope <> 'request' AND lower(dataset) = 'apache' AND prev IS NOT NULL AND pn IS NOT NULL THEN 'low_confidence_sequence_fallback' END,
 CASE WHEN NOT ready THEN 'insufficient_window_history' WHEN NOT isfull THEN 'window_not_full' WHEN ws0 >= 0.7 THEN 'window_template_distribution_shift' END,
 CASE WHEN ready AND isfull AND er > greatest(erm * 2, 0.1) THEN 'window_error_ratio_spike' END,
 CASE WHEN ready AND isfull AND wr > greatest(wrm * 2, 0.1) THEN 'window_warn_ratio_spike' END,
 CASE WHEN level IN ('ERROR', 'CRITICAL', 'FATAL', 'ALERT', 'EMERG') THEN 'error_severity_hint' WHEN level IN ('WARN', 'WARNING') THEN 'warn_severity_hint' END,
 CASE WHEN warming THEN 'insufficient_service_history' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s""",
+    "baseline_scores": _S + """SELECT log_id, CASE WHEN NOT warming THEN round(f, 6) END AS anomaly_score, CASE WHEN warming THEN 'unknown' WHEN f >= 0.8 THEN 'high' WHEN f >= 0.6 THEN 'medium' WHEN f >= 0.4 THEN 'low' ELSE 'normal' END AS anomaly_level,
+CASE WHEN warming THEN 'warming_up' WHEN f >= 0.8 THEN 'anomalous' WHEN f >= 0.4 THEN 'watch' ELSE 'normal' END AS anomaly_decision, CASE WHEN warming THEN 'insufficient_history' ELSE 'ready' END AS anomaly_baseline_status FROM s""",
+    "baseline_missing": _E + "SELECT log_id, NULL::double AS anomaly_score, 'unknown' AS anomaly_level, 'warming_up' AS anomaly_decision, 'missing_baseline' AS anomaly_baseline_status, 'missing_baseline' AS reasons FROM e",
+    "worker_order": _E + "SELECT log_id, service, row_number() OVER (PARTITION BY service ORDER BY ts_ms, log_id) - 1 AS pos FROM e",
     "anomaly_top": _S + "SELECT log_id, service, round(f, 6) AS final_score, CASE WHEN f >= 0.8 THEN 'anomalous' WHEN f >= 0.4 THEN 'watch' ELSE 'normal' END AS decision FROM s WHERE NOT warming ORDER BY round(f, 6) DESC, log_id LIMIT 20",
 }
 QUERIES = {
     "anomaly_template_counts": template_counts, "anomaly_transition_counts": transition_counts, "anomaly_template_p99": template_p99,
     "anomaly_transition_p99": transition_p99, "anomaly_window_profile": window_profile, "anomaly_window_template_means": window_template_means,
     "anomaly_previous_template": previous_template, "anomaly_normal_only": anomaly_normal_only, "anomaly_scores": anomaly_scores,
-    "anomaly_reasons": anomaly_reasons, "anomaly_top": anomaly_top,
+    "anomaly_reasons": anomaly_reasons, "anomaly_top": anomaly_top, "baseline_scores": baseline_scores, "baseline_missing": baseline_missing, "worker_order": worker_order,
 }
