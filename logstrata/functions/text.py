@@ -20,6 +20,7 @@ CATEGORIES = {
     "network": ["network", "socket", "tcp", "udp", "dns", "host", "port"],
     "service_unavailable": ["service unavailable", "unavailable", "error state", "exception while serving", "down", "no route"],
 }
+# Shapes of identifiers, paths and requests.
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 ENTITIES = {
     "request_id": rf"\breq-{UUID}\b",
@@ -45,6 +46,7 @@ VALUE_REWRITES = [
     (r"(?i)\bretry\s+\d+\b", "retry <retry_count>"), (r"(?i)\bport\s+\d{2,5}\b", "port <port>"), (r"(?<![\w.])-?\d+(?:\.\d+)?(?![\w.])", "<num>"),
     (r"(?:<block_id>\s+){2,}<block_id>", "<block_id_list>"),
 ]
+# What each placeholder of a template stands for.
 PLACEHOLDERS = {
     "*": r".*?", "req_id": r"req-[0-9a-fA-F-]{36}", "instance_id": r"[0-9a-fA-F-]{36}", "uuid": r"[0-9a-fA-F-]{36}", "hex_id": r"[0-9a-fA-F]{32}",
     "block_id": r"blk_-?\d+", "block_id_list": r"blk_-?\d+(?:\s+blk_-?\d+)+", "ip_port": r"(?:\d{1,3}\.){3}\d{1,3}:\d+", "ip": r"(?:\d{1,3}\.){3}\d{1,3}", "path": r"/\S+",

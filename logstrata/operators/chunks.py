@@ -36,6 +36,7 @@ def line_chunks(logs: DataFrame) -> DataFrame:
         F.coalesce(first("request_id"), optional(F.col("request_id"))).alias("request_id"), first("instance_id").alias("instance_id"), first("block_id").alias("block_id"), first("ip").alias("ip"),
         http["http_method"].alias("http_method"), http["api_route"].alias("api_route"),
         F.regexp_extract("message", r"(?i)\bstatus:\s*(\d{3})\b", 1).try_cast("int").alias("http_status"), tx.duration_ms(F.col("message")).alias("duration_ms"),
+        task_state(F.col("message")).alias("task_state"), apache_module(F.col("message")).alias("apache_module"),
         tx.found(F.col("raw_log"), r"^(\S+\.log(?:\.\S+)?)\s+\d{4}-\d{2}-\d{2}\s+", 1).alias("source_log"), embed_text(fields).alias("embed_text"), "entities",
     )
     return chunk
@@ -49,6 +50,41 @@ def payload(chunks: DataFrame) -> DataFrame:
     return chunks.select("log_id", F.to_json(F.struct(*names, F.struct(*lists).alias("entities"))).alias("payload"))
 
 
+def template_id(dataset: Column, component: Column, level: Column, template: Column) -> Column:
+    """The identifier of a template group: data set and a hash of its four keys."""
+    parts = [F.coalesce(c, F.lit("")) for c in (dataset, component, level, template)]
+    return F.concat(F.lit("template::"), parts[0], F.lit("::"), F.substring(F.sha1(F.encode(F.concat_ws("\x1f", *parts), "UTF-8")), 1, 16))
+
+
+def template_groups(lines: DataFrame, order: str, samples: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Groups of lines with one dataset, component, level and template, as four tables.
+
+    (groups, samples, members, entities): a group may hold any share of the lines, so its
+    members and the entities it names are rows, not lists.
+    """
+    key = template_id(F.col("dataset"), F.col("component"), F.col("level"), F.col("template")).alias("group_id")
+    groups = lines.groupBy(key).agg(
+        *[F.min(c).alias(c) for c in ("dataset", "component", "level", "template")], F.count("*").alias("occurrences"),
+        F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.min("ingested_at").alias("first_at"), F.max("ingested_at").alias("last_at"),
+    )
+    first = top_per_group(lines.select(key, order, "log_id", "message"), ["group_id"], [F.col(order)], samples)
+    text = F.concat(F.coalesce("raw_log", F.lit("")), F.lit(" "), F.coalesce("message", F.lit("")))
+    named = lines.select(key, tx.entities(text).alias("e"))
+    kinds = named.schema["e"].dataType.names
+    of_kind = lambda k: F.transform(f"e.{k}", lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
+    listed = F.flatten(F.array(*[of_kind(k) for k in kinds]))
+    entities = named.select("group_id", F.explode(listed).alias("x")).select("group_id", "x.kind", "x.value").distinct()
+    return groups, first.select("group_id", "rank", "log_id", "message"), lines.select(key, "log_id"), entities
+
+
+def task_state(message: Column) -> Column:
+    return tx.found(message, r"(?i)pending task \(([^)]+)\)", 1)
+
+
+def apache_module(message: Column) -> Column:
+    return tx.found(message, r"\b(mod_[A-Za-z0-9_]+)\b", 1)
+
+
 def local_rank(logs: DataFrame, terms: list[str], k: int) -> DataFrame:
     """Rows by 3 points a term in the component and 2 in the message, then by time."""
     has = lambda c, t: F.coalesce(F.contains(F.lower(c), F.lit(t)), F.lit(False)).cast("int")

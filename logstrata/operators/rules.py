@@ -50,6 +50,7 @@ PROFILES = {
     ),
     "unknown": Profile(["traceback", "critical", "alert", "corrupt", "fatal"], ["error", "warn", "warning", "exception"], ["verification succeeded", "completed successfully", "lifecycle event"], positive_from=6),
 }
+# What makes a block line an issue, a lifecycle line no calm one.
 BLOCK_ISSUES = ["exception", "failed", "missing", "corrupt", "pipeline error", "replica", "datanode dead"]
 SERVICE_ISSUES = ["failed", "unavailable", "crashed", "exception", "no valid host", "error state", "refused", "cannot serve"]
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logstrata.functions import text as tx
 from logstrata.functions.ids import ident
-from logstrata.operators import catalog, dashboard, ingest, metrics, rca, retrieval, rules
+from logstrata.operators import catalog, chunks, dashboard, ingest, metrics, rca, retrieval, rules
+from logstrata.plans import line_sql
 from logstrata.session import materialize, spread, table
 
 QUERIES: dict = {}
@@ -114,27 +115,66 @@ def entity_arrays(spark, d):
     return e.select("seq", *[F.array_join(F.sort_array(f"e.{k}"), ",").alias(k) for k in ("block_id", "ip_port", "ip")])
 
 
-@query()
+_U = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+
+
+def _ordered(values: str) -> str:
+    """Distinct values in the order of their first place, as text."""
+    return f"array_to_string(list_filter({values}, lambda elem, place: list_position({values}, elem) = place), ',')"
+
+
+_INSTANCE_SQL = rf"""WITH t AS (SELECT seq, coalesce(raw_log, '') || ' ' || coalesce(message, '') AS t FROM log_records),
+a AS (SELECT seq, t, regexp_extract_all(t, '\breq-{_U}\b') AS r, list_concat(regexp_extract_all(t, '(?i)\[instance:\s*({_U})\]', 1), regexp_extract_all(t, '(?i)\binstance\s+({_U})\b', 1)) AS i,
+  regexp_extract_all(t, '\b{_U}\b') AS u, regexp_extract_all(t, '\b[0-9a-fA-F]{{32}}\b') AS h, regexp_extract_all(t, '(?:^|\W)(/(?:[A-Za-z0-9._@%+=:,~-]+/)*[A-Za-z0-9._@%+=:,~-]+)', 1) AS p FROM t),
+o AS (SELECT *, list_filter(u, lambda x: NOT list_contains(i, x) AND NOT list_contains(r, 'req-' || x)) AS other FROM a)
+SELECT seq, {_ordered('r')} AS request_id, {_ordered('i')} AS instance_id, {_ordered('other')} AS uuid, {_ordered('h')} AS hex_id, {_ordered('p')} AS path FROM o"""
+
+
+@query(_INSTANCE_SQL)
 def entity_instances(spark, d):
     text = F.concat(F.coalesce("raw_log", F.lit("")), F.lit(" "), F.coalesce("message", F.lit("")))
     e = spread(table(spark, d, "log_records")).select("seq", tx.entities(text).alias("e"))
     return e.select("seq", *[F.array_join(f"e.{k}", ",").alias(k) for k in ("request_id", "instance_id", "uuid", "hex_id", "path")])
 
 
-@query()
+@query(f"SELECT seq, {line_sql.template('message')} AS template, {line_sql.embed_message('message')} AS embed_message FROM log_records")
 def normalized_templates(spark, d):
     return spread(table(spark, d, "log_records")).select("seq", tx.normalize_template(F.col("message")).alias("template"), tx.sanitize(F.col("message")).alias("embed_message"))
 
 
-@query()
+_GROUPS = f"""WITH r AS (SELECT coalesce(dataset, '') AS dataset, coalesce(component, '') AS component, coalesce(level, '') AS level, {line_sql.template('message')} AS template, seq, log_id, message, raw_log, line_number, ingested_at FROM log_records),
+g AS (SELECT *, 'template::' || dataset || '::' || substring(sha1(concat_ws(chr(31), dataset, component, level, template)), 1, 16) AS group_id FROM r)
+"""
+
+
+def _template_groups(spark, d):
+    rows = spread(table(spark, d, "log_records"))
+    return chunks.template_groups(rows.withColumn("template", tx.normalize_template(F.col("message"))), "seq")
+
+
+@query(_GROUPS + "SELECT group_id, any_value(template) AS template, count(*) AS occurrences, min(line_number) AS first_line, max(line_number) AS last_line, (epoch_us(min(ingested_at)) // 1000)::bigint AS first_ms, (epoch_us(max(ingested_at)) // 1000)::bigint AS last_ms FROM g GROUP BY group_id")
 def template_groups(spark, d):
-    """Templates with their counts, line and time ranges, and up to five samples."""
-    rows = spread(table(spark, d, "log_records")).select("dataset", "component", tx.normalize_template(F.col("message")).alias("template"), "seq", "line_number", "ingested_at", "message")
-    firsts = ingest.top_per_group(rows, ["dataset", "component", "template"], [F.col("seq")], 5)
-    samples = firsts.groupBy("dataset", "component", "template").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("samples"))
-    groups = rows.groupBy("dataset", "component", "template").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.min("ingested_at").alias("first_at"), F.max("ingested_at").alias("last_at"))
-    same = [groups[c].eqNullSafe(samples[c]) for c in ("dataset", "component", "template")]
-    return groups.join(samples, same).select(*[groups[c] for c in groups.columns], "samples")
+    """Templates with their counts, line and time ranges."""
+    groups, _, _, _ = _template_groups(spark, d)
+    return groups.select("group_id", "template", "occurrences", "first_line", "last_line", F.unix_millis("first_at").alias("first_ms"), F.unix_millis("last_at").alias("last_ms"))
+
+
+@query(_GROUPS + "SELECT group_id, rank, log_id, message FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY seq)::int AS rank FROM g) WHERE rank <= 5")
+def template_samples(spark, d):
+    """The first five lines of every template."""
+    return _template_groups(spark, d)[1]
+
+
+@query(_GROUPS + "SELECT group_id, log_id FROM g")
+def template_members(spark, d):
+    return _template_groups(spark, d)[2]
+
+
+@query(_GROUPS + r"""SELECT DISTINCT group_id, kind, unnest(vals) AS value FROM (SELECT group_id, 'block_id' AS kind, regexp_extract_all(t, '\bblk_-?\d+\b') AS vals FROM (SELECT *, coalesce(raw_log, '') || ' ' || coalesce(message, '') AS t FROM g)
+UNION ALL SELECT group_id, 'ip', regexp_extract_all(t, '\b(?:\d{1,3}\.){3}\d{1,3}\b') FROM (SELECT *, coalesce(raw_log, '') || ' ' || coalesce(message, '') AS t FROM g))""")
+def template_entities(spark, d):
+    """The distinct blocks and addresses named under every template."""
+    return _template_groups(spark, d)[3].filter(F.col("kind").isin("block_id", "ip"))
 
 
 @query()

@@ -82,3 +82,35 @@ e AS (SELECT *, count(*) FILTER (ts_text <> '' OR level <> '') OVER (PARTITION B
 SELECT tbl, rec_id, (length(text) - length(replace(text, chr(10), '')) + 1 - (text[-1] = chr(10))::int)::int AS n_lines, ts_text, level, component FROM ({fields(_BOTH)}) WHERE ts_text <> '' OR level <> ''
 UNION ALL SELECT 'raw_lines', arg_min(line_id, (line_number, line_id)), count(*)::int, arg_min(ts_text, (line_number, line_id)), arg_min(level, (line_number, line_id)), arg_min(component, (line_number, line_id)) FROM e WHERE entry > 0 GROUP BY source_file, entry"""
 P5_FOUND = instants()
+
+
+# --- templates ---------------------------------------------------------------------------
+_UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+_SLOW = r"0*(?:[5-9]|[1-9]\d+)(?:\.\d+)?"
+_IDS = [
+    (rf"\breq-{_UUID}\b", "<req_id>"), (rf"(?i)\[instance:\s*{_UUID}\]", "[instance: <instance_id>]"), (rf"(?i)\binstance\s+{_UUID}\b", "instance <instance_id>"), (r"\bblk_-?\d+\b", "<block_id>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}:\d+\b", "<ip_port>"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"), (rf"\b{_UUID}\b", "<uuid>"), (r"\b[0-9a-fA-F]{32}\b", "<hex_id>"),
+    (r"(^|\W)/(?:[A-Za-z0-9._@%+=:,~-]+/)*[A-Za-z0-9._@%+=:,~-]+", r"\1<path>"),
+]
+_NUMBER = (r"(^|[^\w.])-?\d+(?:\.\d+)?($|[^\w.])", r"\1<num>\2")
+_VALUES = [
+    (r"(?i)\bstatus:\s*(\d)\d\d\b", r"status: <status_\1xx>"), (r"(?i)\blen:\s*\d+\b", "len: <len>"), (rf"(?i)\btime:\s*{_SLOW}\b", "time: <duration_slow>"), (r"(?i)\btime:\s*\d+(?:\.\d+)?\b", "time: <duration_normal>"),
+    (rf"(?i)\btook\s+{_SLOW}\s+seconds?\b", "took <duration_slow> seconds"), (r"(?i)\btook\s+\d+(?:\.\d+)?\s+seconds?\b", "took <duration_normal> seconds"), (r"(?i)\berror state\s+-?\d+\b", "error state <state_code>"),
+    (r"(?i)\berror code\s+-?\d+\b", "error code <error_code>"), (r"(?i)\bexit code\s+-?\d+\b", "exit code <exit_code>"), (r"(?i)\bretry\s+\d+\b", "retry <retry_count>"), (r"(?i)\bport\s+\d{2,5}\b", "port <port>"),
+    # numbers share their delimiters, so the second pass finds those next to one of the first
+    _NUMBER, (r"(?:(^|[^\w.>])-?|(<num>-)|(<num>>)-?)\d+(?:\.\d+)?($|[^\w.])", r"\1\2\3<num>\4"), (r"(?:<block_id>\s+){2,}<block_id>", "<block_id_list>"),
+]
+
+
+def rewritten(column: str, rewrites: list[tuple[str, str]]) -> str:
+    for pattern, target in rewrites:
+        column = f"regexp_replace({column}, '{pattern}', '{target}', 'g')"
+    return rf"trim(regexp_replace({column}, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+', ' ', 'g'))"
+
+
+def template(column: str) -> str:
+    return rewritten(column, _IDS + _VALUES)
+
+
+def embed_message(column: str) -> str:
+    return f"(SELECT CASE WHEN length(x) > 240 THEN rtrim(x[:237]) || '...' ELSE x END FROM (SELECT {rewritten(column, _IDS)} AS x))"
