@@ -77,6 +77,11 @@ def template_groups(lines: DataFrame, order: str, samples: int = 5) -> tuple[Dat
     return groups, first.select("group_id", "rank", "log_id", "message"), lines.select(key, "log_id"), entities
 
 
+def prefixed(text: Column, side: str) -> Column:
+    """A text for an embedding model that tells queries from passages."""
+    return F.concat(F.lit(f"{side}: "), text)
+
+
 def task_state(message: Column) -> Column:
     return tx.found(message, r"(?i)pending task \(([^)]+)\)", 1)
 

@@ -116,15 +116,6 @@ ORACLE = {
 }
 
 
-def line_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "log_records")
-    return chunks.line_chunks(rows).select("log_id", "template", "request_id", "instance_id", "block_id", "ip", "duration_ms", "source_log", F.md5("embed_text").alias("embed_md5"))
-
-
-def chunk_payloads(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.payload(chunks.line_chunks(table(spark, d, "log_records"))).select("log_id", F.length("payload").alias("n_chars"))
-
-
 def local_rank(spark: SparkSession, d: str) -> DataFrame:
     return chunks.local_rank(_logs(spark, d), ["blocknode", "volume", "detached"], 50).select("seq", "score")
 
@@ -147,7 +138,7 @@ top AS (SELECT dataset, sum(n) AS top20 FROM (SELECT *, row_number() OVER (PARTI
 p AS (SELECT dataset, sum(n) AS rows, coalesce(sum(n) FILTER (t IS NOT NULL), 0) AS matched, count(t) AS templates, count(*) FILTER (t IS NOT NULL AND n = 1) AS singletons, sum(chars) AS chars FROM c GROUP BY dataset)
 SELECT dataset, rows::bigint AS rows, templates, round(matched / rows, 6) AS coverage, round(coalesce(singletons / nullif(templates, 0), 0), 6) AS singleton_ratio, round(coalesce(top20 / nullif(matched, 0), 0), 6) AS top20_coverage,
 round(chars / rows, 6) AS mean_message_length FROM p LEFT JOIN top USING (dataset)"""
-QUERIES |= {"line_chunks": line_chunks, "chunk_payloads": chunk_payloads, "local_rank": local_rank, "incident_pick": incident_pick, "corpus_quality": corpus_quality}
+QUERIES |= {"local_rank": local_rank, "incident_pick": incident_pick, "corpus_quality": corpus_quality}
 ORACLE |= {
     "local_rank": _LOCAL.format(where="", n=50),
     "incident_pick": _LOCAL.format(where=" AND level IN ('ERROR', 'CRITICAL')", n=1),
