@@ -96,6 +96,33 @@ def lexical_scores(logs: DataFrame, queries: list[tuple[str, str]]) -> DataFrame
     return rows.withColumn("score", F.round(score, 6)).filter("score > 0").select(F.col("q.query_id").alias("query_id"), "log_id", "template", "seq", "score")
 
 
+# What entities, services, template words, levels and a late place add to a score.
+ENTITY_POINTS, SERVICE_POINTS, TEMPLATE_POINTS, LATE_POINTS = 2.0, 1.0, 0.35, 0.05
+LEVEL_POINTS = {"ERROR": 0.2, "WARN": 0.1}
+
+
+def template_first_scores(logs: DataFrame, order: str, terms: list[str], entities: list[str], services: list[str]) -> DataFrame:
+    """`logs` with `score`: shared terms as in lexical ranking, and points for entities, service, template, level and a late place.
+
+    The place is that of `order`, a gapless number of arrival, among all rows.
+    """
+    spans = logs.agg(F.min(order).alias("__first"), F.count("*").alias("__total"))
+    asked = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    overlap = F.array_intersect(asked, tokens(F.coalesce("message", F.lit(""))))
+    text = F.lower(F.concat_ws(" ", "raw_log", "message"))
+    score = F.size(overlap) / float(max(len(terms), 1)) + 0.05 * F.aggregate(overlap, F.lit(0.0), lambda a, t: a + 1 / F.sqrt(F.length(t)))
+    for e in entities:
+        score = score + F.when(F.contains(text, F.lit(e.lower())), ENTITY_POINTS).otherwise(0.0)
+    score = score + F.when(F.col("component").isin(services), SERVICE_POINTS).otherwise(0.0)
+    named = F.array_intersect(asked, tokens(F.translate(F.coalesce("template_id", F.lit("")), "_", " ")))
+    level = F.lit(0.0)
+    for name, points in LEVEL_POINTS.items():
+        level = F.when(F.upper("level") == name, points).otherwise(level)
+    late = LATE_POINTS * (F.col(order) - F.col("__first")) / F.col("__total")
+    scored = logs.join(F.broadcast(spans)).withColumn("score", F.round(score + TEMPLATE_POINTS * F.size(named) + level + late, 6))
+    return scored.drop("__first", "__total")
+
+
 def diversify(scored: DataFrame, k: int = 10, per_template: int = 3) -> DataFrame:
     """The first k per query with at most `per_template` of a template, deferred ones behind."""
     order = [F.desc("score"), F.col("seq")]
