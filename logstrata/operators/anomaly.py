@@ -190,7 +190,7 @@ def score_transitions(view: DataFrame, transitions: DataFrame, config: AnomalyCo
 
 
 def trailing_windows(view: DataFrame, size: int, block_rows: int = 5000) -> DataFrame:
-    """Adds templates (with their means) and levels of the last `size` events of the service, the event included.
+    """Adds templates (with their means where `view` has them) and levels of the last `size` events of the service, the event included.
 
     Blocks of positions carry the end of the block before them along, so windows stay in one
     task without any service having to.
@@ -200,7 +200,7 @@ def trailing_windows(view: DataFrame, size: int, block_rows: int = 5000) -> Data
     halo = F.floor((F.col("pos") + size - 1) / block_rows)
     copies = placed.withColumn("own", own).withColumn("block", F.explode(F.when(own == halo, F.array(own)).otherwise(F.array(own, halo))))
     frame = Window.partitionBy("service", "block").orderBy("pos").rowsBetween(-(size - 1), 0)
-    seen = copies.withColumns({"win_templates": F.collect_list(F.struct("template", "mean")).over(frame), "win_levels": F.collect_list("level").over(frame)})
+    seen = copies.withColumns({"win_templates": F.collect_list(F.struct("template", "mean") if "mean" in view.columns else F.col("template")).over(frame), "win_levels": F.collect_list("level").over(frame)})
     return seen.filter(F.col("own") == F.col("block")).drop("own", "block")
 
 

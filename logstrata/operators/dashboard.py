@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logstrata.functions.text import clean_level
@@ -72,3 +72,72 @@ def recent_window(board: DataFrame, hours: int, limit: int = 5) -> DataFrame:
     newest = board.agg(F.max("ts_ms").alias("newest"))
     inside = board.join(F.broadcast(newest), F.col("ts_ms") >= F.col("newest") - hours * 3_600_000).drop("newest")
     return inside.orderBy(F.desc("ts_ms"), F.desc("seq")).limit(limit)
+
+
+# What enumerated fields of the board may hold, the first being the fallback, and the reasons worth a root-cause search.
+ANOMALY_LEVELS = ("unknown", "normal", "low", "medium", "high")
+DECISIONS = ("not_scored", "normal", "watch", "anomalous", "warming_up")
+BASELINES = ("disabled", "ready", "insufficient_history", "missing_baseline", "error")
+STATUSES = ("unknown", "pending", "indexed", "failed")
+WORTHY = ("new_template_transition", "new_previous_template_for_transition", "new_template_for_service", "window_error_ratio_spike")
+
+
+def known(c: Column, values: tuple[str, ...]) -> Column:
+    """A value of the list, else its first."""
+    return F.when(F.trim(c).isin(*values), F.trim(c)).otherwise(F.lit(values[0]))
+
+
+def board_records(df: DataFrame) -> DataFrame:
+    """Records as the board shows them: whitelisted levels and states, a service, whole anomaly fields."""
+    text = lambda n: F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) if n in df.columns else F.lit(None).cast("string")
+    given = lambda n, kind: F.col(n) if n in df.columns else F.lit(None).cast(kind)
+    dataset, level = F.coalesce(text("dataset"), F.lit("unknown")), F.upper(F.coalesce(text("level"), F.lit("UNKNOWN")))
+    return df.select(
+        "log_id", dataset.alias("dataset"), F.when(level.isin(LEVELS), level).otherwise("UNKNOWN").alias("level"), F.coalesce(text("service"), text("component"), text("logger"), F.concat(dataset, F.lit("-service"))).alias("service"),
+        F.coalesce(text("message"), text("raw_log"), F.lit("")).alias("message"), given("ts_ms", "bigint").alias("ts_ms"), given("anomaly_score", "double").alias("anomaly_score"),
+        known(text("anomaly_level"), ANOMALY_LEVELS).alias("anomaly_level"), known(text("anomaly_decision"), DECISIONS).alias("anomaly_decision"), known(text("anomaly_baseline_status"), BASELINES).alias("baseline_status"),
+        F.coalesce(given("anomaly_reasons", "array<string>"), F.array().cast("array<string>")).alias("reasons"), known(F.lower(text("index_status")), STATUSES).alias("index_status"),
+    )
+
+
+def filtered(board: DataFrame, dataset: str | None = None, service: str | None = None, levels: list[str] | None = None) -> DataFrame:
+    """Rows of the chosen data set, service and levels, newest first; `all` chooses all, rows without time come last."""
+    out = board
+    for name, value in (("dataset", dataset), ("service", service)):
+        if value and value != "all":
+            out = out.filter(F.col(name) == value)
+    return out.filter(F.col("level").isin(levels or [*LEVELS, "UNKNOWN"])).orderBy(F.desc(F.coalesce("ts_ms", F.lit(0))), "log_id")
+
+
+def day_or_newest(board: DataFrame, now_ms: int, zone: str = "Asia/Ho_Chi_Minh", newest: int = 200) -> DataFrame:
+    """Rows of the local day of `now_ms`; where it has none, the newest rows. One scan decides."""
+    day = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_millis(c), zone))
+    marked = board.withColumn("today", F.coalesce(day(F.col("ts_ms")) == day(F.lit(now_ms)), F.lit(False)))
+    if marked.filter("today").isEmpty():
+        return board.orderBy(F.desc_nulls_last("ts_ms"), F.desc("seq")).limit(newest)
+    return marked.filter("today").drop("today")
+
+
+def flags(records: DataFrame) -> DataFrame:
+    """`records` with actionable, signal and rca_worthy."""
+    actionable = (F.col("anomaly_decision") == "anomalous") | (F.col("anomaly_level") == "high")
+    signal = ~actionable & F.col("anomaly_score").isNotNull() & ((F.col("anomaly_decision") == "watch") | F.col("anomaly_level").isin("medium", "low"))
+    serious = (F.col("level") == "ERROR") & (F.coalesce("anomaly_score", F.lit(0.0)) >= 0.6)
+    worthy = actionable | (serious & F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in WORTHY])))
+    return records.withColumns({"actionable": actionable, "signal": signal, "rca_worthy": worthy})
+
+
+def spike(pivot: DataFrame) -> DataFrame:
+    """The bucket with the most errors, the first of equal ones."""
+    return pivot.orderBy(F.desc("error"), "bucket").limit(1).select("bucket", "error")
+
+
+def distinct_values(board: DataFrame, name: str) -> DataFrame:
+    return board.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name)
+
+
+def service_map(board: DataFrame, services: int = 10) -> DataFrame:
+    """The last row of the services that appeared first."""
+    last = F.max_by(F.struct("log_id", "level"), "seq").alias("r")
+    per = board.groupBy("service").agg(F.min("seq").alias("first"), last)
+    return per.orderBy("first").limit(services).select("service", "r.log_id", "r.level")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logstrata.functions.ids import ident
 from logstrata.operators import anomaly as an
-from logstrata.operators import baseline
+from logstrata.operators import baseline, dashboard
 from logstrata.session import materialize, scratch_path, table
 
 CONFIG = an.AnomalyConfig(min_logs=100, min_windows=3)
@@ -100,6 +100,14 @@ def baseline_missing(spark, d):
     return rows.select("log_id", "anomaly_score", "anomaly_level", "anomaly_decision", "anomaly_baseline_status", F.array_join("anomaly_reasons", ",").alias("reasons"))
 
 
+def board_flags(spark, d):
+    """What the board makes of every scored event."""
+    rows = materialize(events(spark, d), "events")
+    base = an.train(rows.filter(F.col("ts_ms") < SPLIT_MS), CONFIG)
+    joined = rows.join(baseline.flattened(an.score(rows, base)), "log_id").withColumn("message", F.lit(""))
+    return dashboard.flags(dashboard.board_records(joined)).select("log_id", "level", "service", "baseline_status", "index_status", "actionable", "signal", "rca_worthy")
+
+
 def worker_order(spark, d):
     """Events in the order of the worker: by time, then by identifier; the place of each in its service."""
     rows = events(spark, d).withColumn("line_number", F.lit(0))
@@ -186,6 +194,8 @@ CASE WHEN warming THEN 'insufficient_service_history' END], lambda x: x IS NOT N
     "baseline_scores": _S + """SELECT log_id, CASE WHEN NOT warming THEN round(f, 6) END AS anomaly_score, CASE WHEN warming THEN 'unknown' WHEN f >= 0.8 THEN 'high' WHEN f >= 0.6 THEN 'medium' WHEN f >= 0.4 THEN 'low' ELSE 'normal' END AS anomaly_level,
 CASE WHEN warming THEN 'warming_up' WHEN f >= 0.8 THEN 'anomalous' WHEN f >= 0.4 THEN 'watch' ELSE 'normal' END AS anomaly_decision, CASE WHEN warming THEN 'insufficient_history' ELSE 'ready' END AS anomaly_baseline_status FROM s""",
     "baseline_missing": _E + "SELECT log_id, NULL::double AS anomaly_score, 'unknown' AS anomaly_level, 'warming_up' AS anomaly_decision, 'missing_baseline' AS anomaly_baseline_status, 'missing_baseline' AS reasons FROM e",
+    "board_flags": _S + """SELECT log_id, CASE WHEN level IN ('ERROR', 'WARN', 'NOTICE', 'INFO', 'DEBUG') THEN level ELSE 'UNKNOWN' END AS level, service, CASE WHEN warming THEN 'insufficient_history' ELSE 'ready' END AS baseline_status, 'unknown' AS index_status,
+NOT warming AND f >= 0.8 AS actionable, NOT warming AND f >= 0.4 AND f < 0.8 AS signal, NOT warming AND (f >= 0.8 OR (level = 'ERROR' AND round(f, 6) >= 0.6 AND (tn IS NULL OR (prev IS NOT NULL AND (pn IS NULL OR trn IS NULL)) OR (ready AND isfull AND er > greatest(erm * 2, 0.1))))) AS rca_worthy FROM s""",
     "worker_order": _E + "SELECT log_id, service, row_number() OVER (PARTITION BY service ORDER BY ts_ms, log_id) - 1 AS pos FROM e",
     "anomaly_top": _S + "SELECT log_id, service, round(f, 6) AS final_score, CASE WHEN f >= 0.8 THEN 'anomalous' WHEN f >= 0.4 THEN 'watch' ELSE 'normal' END AS decision FROM s WHERE NOT warming ORDER BY round(f, 6) DESC, log_id LIMIT 20",
 }
@@ -193,5 +203,5 @@ QUERIES = {
     "anomaly_template_counts": template_counts, "anomaly_transition_counts": transition_counts, "anomaly_template_p99": template_p99,
     "anomaly_transition_p99": transition_p99, "anomaly_window_profile": window_profile, "anomaly_window_template_means": window_template_means,
     "anomaly_previous_template": previous_template, "anomaly_normal_only": anomaly_normal_only, "anomaly_scores": anomaly_scores,
-    "anomaly_reasons": anomaly_reasons, "anomaly_top": anomaly_top, "baseline_scores": baseline_scores, "baseline_missing": baseline_missing, "worker_order": worker_order,
+    "anomaly_reasons": anomaly_reasons, "anomaly_top": anomaly_top, "baseline_scores": baseline_scores, "baseline_missing": baseline_missing, "worker_order": worker_order, "board_flags": board_flags,
 }

@@ -453,6 +453,35 @@ def board_recent_window(spark, d):
     return dashboard.recent_window(board(spark, d), 24)
 
 
+_BV = "WITH bv AS (SELECT seq, log_id, dataset, coalesce(nullif(trim(component), ''), 'unknown') AS service, CASE WHEN lv IN ('ERROR', 'WARN', 'NOTICE', 'INFO', 'DEBUG') THEN lv ELSE 'UNKNOWN' END AS level, (epoch_us(ingested_at) // 1000)::bigint AS ts_ms FROM (SELECT *, CASE upper(trim(trim(level), '[]')) WHEN 'WARNING' THEN 'WARN' ELSE upper(trim(trim(level), '[]')) END AS lv FROM log_records)) "
+
+
+@query(_BV + "SELECT seq, level FROM bv WHERE dataset = 'hdfs' AND level IN ('ERROR', 'UNKNOWN')")
+def board_filtered(spark, d):
+    return dashboard.filtered(board(spark, d), "hdfs", "all", ["ERROR", "UNKNOWN"]).select("seq", "level")
+
+
+@query(_BV + "SELECT seq FROM bv ORDER BY ts_ms DESC, seq DESC LIMIT 200")
+def board_newest(spark, d):
+    """A day without rows shows the newest ones."""
+    return dashboard.day_or_newest(board(spark, d), 4_000_000_000_000).select("seq")
+
+
+@query(_BV + ", b AS (SELECT strftime(make_timestamp(ts_ms // 300000 * 300000000), '%Y-%m-%d %H:%M') AS bucket, count(*) FILTER (level = 'ERROR') AS error FROM bv WHERE ts_ms IS NOT NULL GROUP BY 1) SELECT bucket, error FROM (SELECT * FROM b ORDER BY bucket DESC LIMIT 13) ORDER BY error DESC, bucket LIMIT 1")
+def board_spike(spark, d):
+    return dashboard.spike(dashboard.traffic_pivot(board(spark, d)))
+
+
+@query(_BV + "SELECT DISTINCT service FROM bv")
+def board_services(spark, d):
+    return dashboard.distinct_values(board(spark, d), "service")
+
+
+@query(_BV + "SELECT service, arg_max(log_id, seq) AS log_id, arg_max(level, seq) AS level FROM bv GROUP BY service ORDER BY min(seq) LIMIT 10")
+def board_service_map(spark, d):
+    return dashboard.service_map(board(spark, d))
+
+
 # --- audit -------------------------------------------------------------------------------
 _FIELDS = ["component", "level", "event_id", "template_id", "host", "request_id", "timestamp", "message"]
 
