@@ -77,3 +77,24 @@ def anomaly_metrics(truth: DataFrame, predictions: DataFrame, threshold: float)
         "accuracy": _ratio(F.col("tp") + F.col("tn"), F.col("evaluated")), "score_range_agreement": _ratio(F.col("in_range"), F.col("evaluated")), "signal_overlap": F.col("overlap"),
     }
     return counts.join(F.broadcast(unknown)).select("evaluated", "unknown_predictions", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(k) for k, c in ratios.items()])
+
+
+def unknown_queries(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results of queries that are not there: an evaluation with any is refused by its caller."""
+    return results.join(queries.select("query_id").distinct(), "query_id", "left_anti")
+
+
+def repeated_predictions(predictions: DataFrame) -> DataFrame:
+    """Logs with more than one prediction."""
+    return predictions.groupBy("log_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def severity_agreement(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Counts of expected against predicted severities, `none` where nothing was predicted."""
+    joined = truth.select("log_id", "expected_severity").join(predictions.select("log_id", "severity"), "log_id", "left")
+    return joined.groupBy("expected_severity", F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+def predicted_flag(flag: Column, score: Column, threshold: float) -> Column:
+    """The flag where there is one, else whether the score reaches the threshold, else false."""
+    return F.coalesce(flag, score >= threshold, F.lit(False))

@@ -71,6 +71,13 @@ def rerank_groups(hits: DataFrame, per_group: int = 3, limit: int = 24, semantic
     return top_per_group(capped, ["query_id"], [F.desc("final"), F.desc_nulls_last("ts"), F.col("id")], limit)
 
 
+def top_groups(ranked: DataFrame, groups: int) -> DataFrame:
+    """The rows of the first `groups` groups of every query, in order of their best row."""
+    best = ranked.groupBy("query_id", "grp").agg(F.max("final").alias("best"))
+    kept = top_per_group(best, ["query_id"], [F.desc("best"), F.col("grp")], groups).select("query_id", "grp")
+    return ranked.join(kept, ["query_id", "grp"], "left_semi")
+
+
 def merge_best(*groups: DataFrame, limit: int) -> DataFrame:
     """Union of hits (query_id, id, score): the best score per id, the first `limit` per query."""
     union = groups[0]

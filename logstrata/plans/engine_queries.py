@@ -57,9 +57,17 @@ def ingest_normalized(spark: SparkSession, d: str) -> DataFrame:
     return accepted.select("seq", "log_id", "component", "service", "level", "message")
 
 
-@query(_NORM + "SELECT kafka_partition || ':' || kafka_offset AS key, error FROM n WHERE error IS NOT NULL")
+_HURT = "CASE WHEN seq % 40 = 1 THEN '  ' ELSE raw_log END AS raw_log, CASE WHEN seq % 40 = 2 THEN 0 ELSE line_number END AS line_number, CASE WHEN seq % 40 = 3 THEN '' ELSE dataset END AS dataset, CASE WHEN seq % 40 = 4 THEN NULL ELSE source_id END AS source_id"
+
+
+@query(f"""SELECT kafka_partition || ':' || kafka_offset AS key, CASE seq % 40 WHEN 1 THEN 'raw_log is required' WHEN 2 THEN 'line_number must be positive' WHEN 3 THEN 'dataset is required' ELSE 'source_id is required' END AS error
+FROM (SELECT * REPLACE ({_HURT}) FROM anomaly_candidate_logs) WHERE trim(raw_log) = '' OR line_number < 1 OR dataset = '' OR source_id IS NULL""")
 def ingest_rejected(spark, d):
-    _, rejected = ingest.split_rejected(ingest.normalize(table(spark, d, "anomaly_candidate_logs")))
+    """What is rejected of records of which one in ten lacks something."""
+    rows, n = table(spark, d, "anomaly_candidate_logs"), F.col("seq") % 40
+    hurt = {"raw_log": (1, "  "), "line_number": (2, 0), "dataset": (3, ""), "source_id": (4, None)}
+    damaged = rows.withColumns({c: F.when(n == k, F.lit(v)).otherwise(F.col(c)) for c, (k, v) in hurt.items()})
+    _, rejected = ingest.split_rejected(ingest.normalize(damaged))
     return rejected.select("key", "error")
 
 
@@ -311,6 +319,15 @@ def vector_filtered_merged(spark, d):
     return retrieval.merge_best(part(1), part(2), limit=15)
 
 
+_GROUPED = _HITS + ", gr AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY top DESC, label) AS g FROM (SELECT *, max(final) OVER (PARTITION BY query_id, label) AS top FROM c))"
+
+
+@query(_GROUPED + " SELECT query_id, vec_id AS id, label AS grp, final FROM gr WHERE g <= 2")
+def vector_top_groups(spark, d):
+    """The best lines of the two best groups of every query."""
+    return retrieval.top_groups(retrieval.rerank_groups(_hits(spark, d), limit=10_000), 2).select("query_id", "id", "grp", "final")
+
+
 QUERY_BANK = [
     ("q01", "upstream gave no answer"), ("q02", "worker initialisation aborted"), ("q03", "lease revoked"), ("q04", "backend reports not ready"), ("q05", "peer closed the channel"), ("q06", "volume is detached"),
     ("q07", "consumer disconnected"), ("q08", "damaged chunks found in scan"), ("q09", "segment lags"), ("q10", "order refused ledger unreachable"), ("q11", "spawn gave up no network port"), ("q12", "pool sessions used up"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logstrata.operators import qrels, rules, validation
+from logstrata.operators import metrics, qrels, rules, validation
 from logstrata.plans.catalog_queries import _sql
 from logstrata.plans.engine_queries import _RULES
 from logstrata.session import materialize, spread, table
@@ -166,3 +166,32 @@ def incident_chain_errors(spark, d):
     rows = table(spark, d, "incidents")
     once = rows.groupBy("incident_id").agg(*[F.min(c).alias(c) for c in ("scenario_type", "incident_log_id", "root_cause_log_id", "evidence_log_ids")])
     return validation.chain_errors(once, logs)
+
+
+# --- predictions -------------------------------------------------------------------------
+_SEVERE = "CASE WHEN seq % 7 = 0 THEN NULL WHEN level IN ('ERROR', 'CRITICAL') THEN 'high' WHEN level = 'WARN' THEN 'medium' ELSE 'none' END"
+
+
+def _predictions(spark, d):
+    severe = F.when(F.col("seq") % 7 == 0, F.lit(None)).when(F.col("level").isin("ERROR", "CRITICAL"), "high").when(F.col("level") == "WARN", "medium").otherwise("none")
+    return table(spark, d, "log_records").select("log_id", severe.alias("severity"), "seq")
+
+
+@query("SELECT log_id, count(*) AS n FROM log_records GROUP BY 1 HAVING count(*) > 1")
+def predictions_repeated(spark, d):
+    return metrics.repeated_predictions(_predictions(spark, d))
+
+
+@query(f"WITH p AS (SELECT log_id, arg_min({_SEVERE}, seq) AS severity FROM (SELECT *, min(seq) OVER (PARTITION BY log_id) AS f FROM log_records) WHERE seq = f GROUP BY 1) SELECT expected_severity, coalesce(severity, 'none') AS severity, count(*) AS n FROM anomalies LEFT JOIN p USING (log_id) GROUP BY ALL")
+def severity_agreement(spark, d):
+    """Expected against predicted severities."""
+    first = _predictions(spark, d).groupBy("log_id").agg(F.min_by(F.struct("severity"), "seq").alias("s")).select("log_id", "s.severity")
+    return metrics.severity_agreement(table(spark, d, "anomalies"), first)
+
+
+@query("SELECT incident_id AS query_id, count(*) AS n FROM rca_candidates WHERE incident_id NOT IN (SELECT incident_id FROM incidents WHERE scenario_type = 'explicit_root_cause' AND incident_id IS NOT NULL) GROUP BY 1")
+def results_of_unknown_queries(spark, d):
+    """Results that belong to no query with an explicit cause."""
+    asked = table(spark, d, "incidents").filter("scenario_type = 'explicit_root_cause'").select(F.col("incident_id").alias("query_id"))
+    results = table(spark, d, "rca_candidates").withColumnRenamed("incident_id", "query_id")
+    return metrics.unknown_queries(results, asked).groupBy("query_id").agg(F.count("*").alias("n"))

@@ -138,7 +138,25 @@ def generated_errors(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(counts, "tbl string, n_rows long, n_errors long")
 
 
+def review_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written for reviewers and read again."""
+    path = scratch_path(spark, "review")
+    rows = table(spark, d, "documents").select("doc_id", "source", "text")
+    files.write_review(rows, path)
+    return files.read_review(spark, path, rows.schema).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def collection_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as a partitioned collection and read again."""
+    path = scratch_path(spark, "collection")
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("chunk:"), "vec_id").alias("chunk_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("dataset"), "vec_id", "embedding")
+    files.write_collection(rows, path, len(rows.select("embedding").first()[0]))
+    return files.snapshot(spark, path + "-none", path).select("chunk_id", "dataset", "vec_id", F.size("embedding").alias("n"))
+
+
 QUERIES = {
+    "review_round_trip": review_round_trip,
+    "collection_round_trip": collection_round_trip,
     "corpus_lines": corpus_lines,
     "corpus_counters": corpus_counters,
     "generated_errors": generated_errors,
@@ -151,6 +169,8 @@ QUERIES = {
     "jsonl_round_trip": jsonl_round_trip,
 }
 ORACLE = {
+    "review_round_trip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "collection_round_trip": "SELECT 'chunk:' || vec_id AS chunk_id, 'd' || (label % 3) AS dataset, vec_id, len(embedding)::int AS n FROM embeddings",
     "corpus_lines": "SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY line_number)::int AS line_number, md5(rtrim(regexp_replace(line, '\\r$', ''), chr(32))) AS line_md5 FROM raw_lines",
     "corpus_counters": """WITH l AS (SELECT CASE WHEN seq % 10 = 0 THEN '' ELSE regexp_extract(raw_log, '^[^\\r\\n]*') END AS v FROM log_records WHERE dataset = 'hdfs'), r AS (SELECT nullif(trim(regexp_replace(v, '\\s+', ' ', 'g')), '') AS raw FROM l),
 p AS (SELECT raw, CASE WHEN regexp_matches(raw, '^(\\d{6}\\s+\\d{6})\\s+(\\d+)\\s+([A-Z]+)\\s+([^:\\s]+):\\s*(.*)$') THEN true ELSE regexp_matches(raw, '(?i)\\b(DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|ERR|FATAL|TRACE|CRITICAL|AUDIT)\\b') END AS levelled FROM r)

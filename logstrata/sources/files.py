@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +35,37 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: T.StructType = LO
     return lines.filter(~broken).select("r.*").drop("_corrupt_record"), lines.filter(broken).select("value")
 
 
-def write_jsonl(df: DataFrame, path: str, overwrite: bool = True) -> None:
-    """JSON lines with sorted keys; without `overwrite` an existing path is an error."""
-    df.select(*sorted(df.columns)).write.mode("overwrite" if overwrite else "errorifexists").json(path)
+def write_jsonl(df: DataFrame, path: str, overwrite: bool = True) -> int:
+    """JSON lines with sorted keys; without `overwrite` an existing path is an error. Gives the number of rows, counted as they are written."""
+    seen = Observation()
+    df.select(*sorted(df.columns)).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    return seen.get["n"]
+
+
+def write_review(df: DataFrame, path: str) -> None:
+    """A table for reviewers: CSV with a header, quoted so that line breaks survive."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_review(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def write_collection(df: DataFrame, path: str, dimension: int, required: tuple[str, ...] = ("chunk_id", "dataset", "embedding")) -> None:
+    """Vectors with their payload, partitioned by data set; rows without a required field or with another dimension are refused."""
+    blank = F.lit(False)
+    for name in required:
+        blank = blank | F.col(name).isNull()
+    problem = F.when(blank, "a required field is missing").when(F.size("embedding") != dimension, "unexpected vector dimension")
+    checked = df.withColumn("embedding", F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col("embedding")))
+    checked.write.mode("overwrite").partitionBy("dataset").parquet(path)
+
+
+def snapshot(spark: SparkSession, enriched: str, plain: str) -> DataFrame:
+    """The enriched records where they exist, else the plain ones."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(enriched)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.parquet(enriched if there else plain)
 
 
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
