@@ -40,14 +40,19 @@ def is_root_cause(question: Column) -> Column:
 
 def window_hours(question: Column, default: int = 1) -> Column:
     hours = tx.found(plain(question), rf"\b(\d{{1,3}})\s*(?:h|gio|tieng|hour|hours)\b", 1).cast("int")
-    return F.coalesce(F.greatest(hours, F.lit(1)), F.lit(default))
+    # greatest() alone would take 1 for a question without hours
+    return F.when(hours.isNotNull(), F.greatest(hours, F.lit(1))).otherwise(F.lit(default))
 
 
 def lookback_ms(question: Column, default: int = LOOKBACK_MS) -> Column:
     """Minutes go before hours where both are named."""
     said = plain(question)
-    span = lambda units, most: F.greatest(tx.found(said, rf"\b(\d{{1,{most}}})\s*(?:{units})\b", 1).cast("bigint"), F.lit(1))
-    return F.coalesce(span(MINUTES, 4) * 60_000, span(HOURS, 3) * 3_600_000, F.lit(default)).cast("bigint")
+
+    def span(units: str, most: int, ms: int) -> Column:
+        number = tx.found(said, rf"\b(\d{{1,{most}}})\s*(?:{units})\b", 1).cast("bigint")
+        return F.when(number.isNotNull(), F.greatest(number, F.lit(1)) * ms)
+
+    return F.coalesce(span(MINUTES, 4, 60_000), span(HOURS, 3, 3_600_000), F.lit(default)).cast("bigint")
 
 
 def terms(question: Column) -> Column:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logstrata.operators import questions, rca
+from logstrata.operators import planner, questions, rca
 from logstrata.plans.engine_queries import ORACLE as _ENGINE
 from logstrata.plans.engine_queries import _incidents, logs_v
 from logstrata.plans.planner_queries import _CONTEXT, _logs, _plans
-from logstrata.operators import planner
 from logstrata.session import table
 
 QUERIES: dict = {}
@@ -35,7 +34,7 @@ _ASK = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(ASKED)) + ")
 b AS (SELECT *, coalesce(nullif(regexp_extract(question, '(?i)\blog[_ ]?id\s*[:=]?\s*([A-Za-z]+:[\w:-]+)', 1), ''), nullif(regexp_extract(question, '\b((?:apache|openstack|hdfs|online|demo):[0-9A-Za-z][\w-]{{5,}})\b', 1), '')) AS log_id,
   try_cast(nullif(regexp_extract(p, '\b(\d{{1,3}})\s*(?:h|gio|tieng|hour|hours)\b', 1), '') AS int) AS h, try_cast(nullif(regexp_extract(p, '\b(\d{{1,4}})\s*(?:m|min|mins|minute|minutes|phut|p)\b', 1), '') AS bigint) AS m FROM a)
 SELECT k, log_id, regexp_matches(p, 'moi nhat|gan day|vua xay ra|latest|recent|newest|last logs') AS recent, regexp_matches(p, 'nguyen nhan|root cause|rca|vi sao|tai sao|why') OR (log_id IS NOT NULL AND regexp_matches(p, 'loi|error|incident')) AS root_cause,
-  coalesce(greatest(h, 1), 1) AS hours, coalesce(greatest(m, 1) * 60000, greatest(h, 1)::bigint * 3600000, 600000) AS lookback_ms,
+  CASE WHEN h > 0 THEN h ELSE 1 END AS hours, CASE WHEN m IS NOT NULL THEN CASE WHEN m > 0 THEN m ELSE 1 END * 60000 WHEN h IS NOT NULL THEN CASE WHEN h > 0 THEN h ELSE 1 END::bigint * 3600000 ELSE 600000 END AS lookback_ms,
   array_to_string(list_filter(regexp_extract_all(p, '[a-z_][a-z0-9_.$-]{{2,}}'), lambda w, i: NOT list_contains([{', '.join(f"'{w}'" for w in planner.NO_SUBJECT)}], w) AND list_position(regexp_extract_all(p, '[a-z_][a-z0-9_.$-]{{2,}}'), w) = i), ' ') AS terms FROM b""")
 def question_parts(spark, d):
     """What seven questions ask for."""

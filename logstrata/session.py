@@ -43,9 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/logstrata/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/logstrata/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what this process wrote to the shared folder; results that still read from there must be stored before. Gives the number of paths."""
+    gone = 0
+    while _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
