@@ -140,7 +140,7 @@ def plan(documents: DataFrame, targets_table: DataFrame, doc_id: str = "doc_id",
     caps = _lookup(F.col("source"), {s: float(targets.cap[s]) for s in targets.tokens})
     tilted = F.least(F.exp(F.least(_lookup(F.col("source"), lam) * F.col("n_tokens") / _lookup(F.col("source"), unit), F.lit(50.0))), caps)
     full = F.col("source").isin(list(targets.full)) if targets.full else F.lit(False)
-    rate = F.when(F.col("n_tokens") == 0, 0.0).otherwise(F.coalesce(F.when(full, caps).otherwise(tilted), F.lit(0.0)))
+    rate = F.when((F.col("n_tokens") == 0) | caps.isNull(), 0.0).otherwise(F.coalesce(F.when(full, caps).otherwise(tilted), F.lit(0.0)))
     chance = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11)) / float(1 << 53)
     rated = sized.select("doc_id", "source", "n_tokens", rate.alias("rate"), chance.alias("chance"))
 

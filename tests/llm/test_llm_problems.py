@@ -180,9 +180,10 @@ def test_plan_meets_targets_within_repeats(spark):
     rng = random.Random(6)
     docs = [(k, rng.choice(["A", "a ", "b", "b", "b", "c", None, "other"]), " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60)))) for k in range(900)] + [(1000, "a", None), (1001, "b", ""), (None, "a", "x")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("copies", F.lit("x"))
-    targets = spark.createDataFrame([("a", 0.5, 2), ("B", 0.3, 1), ("c", 0.2, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("B", 0.3, 1), ("c", 0.2, 3), ("absent", 0.1, 2), ("other", 0.0, 5)], "source string, target_share double, max_repeats int")
     planned = mixing.plan(df, targets).cache()
-    caps = {"a": 2, "b": 1, "c": 3}
+    caps = {"a": 2, "b": 1, "c": 3, "other": 0}
+    assert planned.filter("source = 'other' AND rate <> 0").count() == 0
     used = {}
     for r in planned.collect():
         assert 0 <= r.copies <= caps[r.source] and (r.n_tokens > 0 or r.copies == 0)
