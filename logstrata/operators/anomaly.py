@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logstrata.functions.timestamps import let
 from logstrata.operators.blocks import carry, exact_percentile
+from logstrata.session import materialize
 
 # Level groups, weights and thresholds of the scores.
 ERROR_LEVELS = ["ERROR", "CRITICAL", "FATAL", "ALERT", "EMERG"]
@@ -133,6 +135,7 @@ def window_vectors(view: DataFrame, config: AnomalyConfig) -> DataFrame:
 
 def window_profile(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per service and template: mean; per service: means, window_count, p99 of the distances)."""
+    vectors = materialize(vectors, "vectors")
     windows = vectors.select("service", "w", "error_ratio", "warn_ratio", "unique_ratio").distinct()
     base = windows.groupBy("service").agg(F.count("*").alias("window_count"), *[F.avg(c).alias(f"{c}_mean") for c in ("error_ratio", "warn_ratio", "unique_ratio")])
     means = vectors.groupBy("service", "template").agg(F.sum("ratio").alias("s")).join(base.select("service", "window_count"), "service")
@@ -190,7 +193,7 @@ def score_transitions(view: DataFrame, transitions: DataFrame, config: AnomalyCo
 
 
 def trailing_windows(view: DataFrame, size: int, block_rows: int = 5000) -> DataFrame:
-    """Adds templates (with their means where `view` has them) and levels of the last `size` events of the service, the event included.
+    """Adds templates (hashed and with their means, where `view` has these) and levels of the last `size` events of the service, the event included.
 
     Blocks of positions carry the end of the block before them along, so windows stay in one
     task without any service having to.
@@ -200,7 +203,7 @@ def trailing_windows(view: DataFrame, size: int, block_rows: int = 5000) -> Data
     halo = F.floor((F.col("pos") + size - 1) / block_rows)
     copies = placed.withColumn("own", own).withColumn("block", F.explode(F.when(own == halo, F.array(own)).otherwise(F.array(own, halo))))
     frame = Window.partitionBy("service", "block").orderBy("pos").rowsBetween(-(size - 1), 0)
-    seen = copies.withColumns({"win_templates": F.collect_list(F.struct("template", "mean") if "mean" in view.columns else F.col("template")).over(frame), "win_levels": F.collect_list("level").over(frame)})
+    seen = copies.withColumns({"win_templates": F.collect_list(F.struct(F.xxhash64("template").alias("template"), "mean") if "mean" in view.columns else F.col("template")).over(frame), "win_levels": F.collect_list("level").over(frame)})
     return seen.filter(F.col("own") == F.col("block")).drop("own", "block")
 
 
@@ -209,11 +212,18 @@ def score_windows(view: DataFrame, means: DataFrame, profile: DataFrame, config:
     # every event brings its own template's mean along: no task holds the vocabulary of a service
     joined = trailing_windows(view.join(means, ["service", "template"], "left"), config.size).join(profile, "service", "left")
     n = F.lit(float(config.size))
-    ratio = lambda t: F.size(F.filter("win_templates", lambda x: x["template"] == t["template"])) / n
-    gaps = F.transform(F.array_distinct("win_templates"), lambda t: F.coalesce(F.abs(ratio(t) - t["mean"]) - t["mean"], F.lit(0.0)))
+    def gap_sum(ids: Column) -> Column:
+        """Sum of |ratio - mean| - mean over the templates of a window; array_remove counts in one compiled loop."""
+        ratio = lambda t: (F.size(ids) - F.size(F.array_remove(ids, t["template"]))) / n
+        return F.aggregate(F.array_distinct("win_templates"), F.lit(0.0), lambda a, t: a + F.coalesce(F.abs(ratio(t) - t["mean"]) - t["mean"], F.lit(0.0)))
+
     share = lambda levels: F.size(F.filter("win_levels", lambda x: x.isin(levels))) / n
-    error, warn, unique = share(ERROR_LEVELS), share(WARN_LEVELS), F.size(F.array_distinct("win_templates")) / n
-    distance = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) + F.col("mean_sum") + F.abs(error - F.col("error_ratio_mean")) + F.abs(warn - F.col("warn_ratio_mean")) + F.abs(unique - F.col("unique_ratio_mean"))
+    # each of these once per row: later expressions name them several times
+    joined = joined.withColumns({
+        "w_gaps": let(F.col("win_templates.template"), gap_sum), "w_error": share(ERROR_LEVELS), "w_warn": share(WARN_LEVELS), "w_unique": F.size(F.array_distinct("win_templates.template")) / n,
+    })
+    error, warn = F.col("w_error"), F.col("w_warn")
+    distance = F.col("w_gaps") + F.col("mean_sum") + F.abs(error - F.col("error_ratio_mean")) + F.abs(warn - F.col("warn_ratio_mean")) + F.abs(F.col("w_unique") - F.col("unique_ratio_mean"))
     score = _clamp(distance / F.greatest("p99_distance", F.lit(config.epsilon)))
     ready = F.coalesce(F.col("window_count") >= config.min_windows, F.lit(False))
     full = F.size("win_templates") == config.size
@@ -224,7 +234,7 @@ def score_windows(view: DataFrame, means: DataFrame, profile: DataFrame, config:
     return joined.withColumns({
         "window_score": F.when(ready & full, score).otherwise(0.0),
         "window_reasons": F.when(~ready, F.array(F.lit("insufficient_window_history"))).when(~full, F.array(F.lit("window_not_full"))).otherwise(reasons),
-    }).drop("win_templates", "win_levels", "mean")
+    }).drop("win_templates", "win_levels", "mean", "w_gaps", "w_error", "w_warn", "w_unique")
 
 
 @dataclass(frozen=True)
@@ -240,7 +250,8 @@ class Baseline:
 
 def train(training: DataFrame, config: AnomalyConfig) -> Baseline:
     means, profile = window_profile(window_vectors(training, config))
-    return Baseline(template_counts(training), transition_counts(training), means, profile, config)
+    # counts are read by several joins of the scorer
+    return Baseline(materialize(template_counts(training), "templates"), materialize(transition_counts(training), "transitions"), means, materialize(profile, "profile"), config)
 
 
 def score(view: DataFrame, training: DataFrame | Baseline, config: AnomalyConfig | None = None) -> DataFrame:

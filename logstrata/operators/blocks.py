@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logstrata.session import materialize
+
 
 def carry(rows: DataFrame, group: list[str], block: str, summaries: dict[str, Column], carried: dict[str, tuple[str, str]]) -> DataFrame:
     """`rows` plus, in every row, values carried over from other blocks of its group.
@@ -51,8 +53,10 @@ def exact_percentile(rows: DataFrame, group: list[str], value: str, q: float, na
     blocks are added up, and the two values at the wanted ranks are picked inside their block.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    counts = materialize(counts, "values")
     sizes = counts.groupBy(*group).agg(F.sum("__c").alias("__n"), F.percentile_approx("__v", F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)]), F.lit(1000)).alias("__cuts"))
     cut = counts.join(sizes, group).withColumn("__block", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
+    cut = materialize(cut, "cut")
     cut = carry(cut, group, "__block", {"c": F.sum("__c")}, {"__before": ("sum", "c")})
     upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*group, "__block").orderBy("__v"))
     rank = q * (F.col("__n") - 1)
