@@ -33,6 +33,8 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 TRAIN_TEXTS = 600
 MAX_LEXICON = 1_000_000
 LEFT, RIGHT = 48, 20
+#: What speaks for a name stands right before it.
+LEFT_OF_NAME = 24
 
 # --- candidate spans: fixed patterns of shapes -----------------------------------------
 _AT = r"(?:@|\s?[\[(]at[\])]\s?)"
@@ -70,7 +72,8 @@ CUES = {
     "place": r"address|courier|parcel|ship|send|sent|deliver|went to|\bto$|geht an|liefer|adresse|wohnt|lives|gửi|địa chỉ|rang at|office|moved to|visit",
     "person": r"(?:\bby|from|ask|asks|owner\W*|assignee\W*|contact\W*|name is|lists|request for|tonight:|shift:|\bmr\.?|\bmrs\.?|\bms\.?|\bdr\.?|prof\.?|herr|frau|von|bei|steht|của|là|cáo:|hệ|ông|bà|asked for|thanks to|according to|handover|->|--|cc|dear|hi|regards,|user|nach|an|für|cho|và|and|with|to|for)\W*$",
 }
-CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
+_CUES = lambda *kinds: re.compile("|".join(f"(?P<{k}>{CUES[k]})" for k in kinds), re.I)
+CUES_OF = {"name": _CUES("person"), "address": _CUES("place", "code"), "email": _CUES("phone", "id", "code"), "phone": _CUES("phone", "id", "code"), "id_number": _CUES("phone", "id", "code")}
 AFTER_PERSON = re.compile(r"^\W*(?:wrote|said|says|hat|was|is\b|asked|took|called|approved|->|\(|,|;|qua|là|at \d|and my|\|?$)", re.I)
 PRODUCT = re.compile(r"^[\s-]*(?:release|exporter|format|server|rack|build|version|patch|driver|cluster|protocol|standard|street|road|avenue|lane|cabling|node|parser|module|\d)", re.I)
 MACHINE = re.compile(r"\b(?:rack|the|release|node|host|server|module|package)\s*$", re.I)
@@ -214,12 +217,12 @@ def _addresses(text: str) -> Iterator[Span]:
                 yield m.start(), m.end(), "address", [kind]
 
 
-def _last(pattern: re.Pattern, left: str) -> int:
-    """Where the last match ends, -1 without one."""
-    at = -1
-    for m in pattern.finditer(left):
-        at = m.end()
-    return at
+def _nearest(cues: re.Pattern, left: str) -> str | None:
+    """The kind of the last cue on the left."""
+    kind = None
+    for m in cues.finditer(left):
+        kind = m.lastgroup
+    return kind
 
 
 def candidates(text: str, given: set[str], family: set[str]) -> list[Span]:
@@ -228,14 +231,13 @@ def candidates(text: str, given: set[str], family: set[str]) -> list[Span]:
     spans = []
     for s, e, kind, feats in out:
         line = text.rfind("\n", 0, s) + 1
-        left, right = text[max(line, s - LEFT) : s], text[e : e + RIGHT]
+        left, right = text[max(line, s - (LEFT_OF_NAME if kind == "name" else LEFT)) : s], text[e : e + RIGHT]
         if before := SENTENCE.match(left):
             left = left[before.end() :]
         feats = [f"{kind}:{f}" for f in feats]
         # of several cues the one next to the span counts
-        cues = {c: _last(CUES[c], left) for c in (("person",) if kind == "name" else ("place", "code") if kind == "address" else ("phone", "id", "code"))}
-        nearest = max(cues.values())
-        feats += [f"{kind}<{c}" for c, at in cues.items() if at >= 0 and at == nearest]
+        if cue := _nearest(CUES_OF[kind], left):
+            feats.append(f"{kind}<{cue}")
         if kind == "name":
             feats += ["name>person"] * bool(AFTER_PERSON.match(right)) + ["name>product"] * bool(PRODUCT.match(right)) + ["name<machine"] * bool(MACHINE.search(left))
             feats += ["name:in_word"] * bool(re.match(r"[@\w]", right) or re.search(r"[\w@._-]$", left))
