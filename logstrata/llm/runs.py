@@ -41,7 +41,8 @@ def message_key(message: Column) -> Column:
     """
     text = F.translate(F.lower(F.coalesce(message, F.lit(""))), "\u00a0\u2007\u202f\u3000", "    ")
     parts = "|".join(sorted(set(PARTS)))
-    name = rf"\b(?!(?:{parts})-)[a-z]+-(?!(?:{parts})\b)[a-z]+\b(?!-)"
+    # the first look ahead keeps words without a hyphen from the long alternatives
+    name = rf"\b(?=[a-z]+-[a-z])(?!(?:{parts})-)[a-z]+-(?!(?:{parts})\b)[a-z]+\b(?!-)"
     plain = F.regexp_replace(text, rf"\S*[\d/]\S*|{name}", "#")
     return F.xxhash64(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
