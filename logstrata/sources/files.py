@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logstrata.operators.ingest import optional
+from logstrata.sources.corpus import numbered_lines
 
 LOG_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("log_id", "dataset", "raw_log", "message", "timestamp", "component", "level", "event_id", "source_file")]
@@ -69,14 +70,8 @@ def snapshot(spark: SparkSession, enriched: str, plain: str) -> DataFrame:
 
 
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, line_number, line) of text files, byte-order mark and blank lines removed.
-
-    The line number is part of the key, so a file is read as one value; larger files come as
-    numbered lines from their collectors.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = whole.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    return lines.filter(F.trim("line") != "").select("source_file", (F.col("n") + 1).alias("line_number"), "line")
+    """(source_file, line_number, line) of text files of any size, byte-order mark and blank lines removed."""
+    return numbered_lines(spark, [path]).filter(F.trim("line") != "")
 
 
 def read_structured_csv(spark: SparkSession, path: str) -> DataFrame:
